@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import lines, simhash, urls
 from .common import table
 
 
@@ -15,8 +15,24 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the list entries that were valid when it was fetched."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.url_filter(urls.derived_captures(pages), urls.derived_entries(pages))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its site's boilerplate lines."""
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_url_filters": op7_url_filters,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_url_filters": urls.ORACLE,
+    "op9_line_dedup": lines.ORACLE,
+}
