@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, simhash, urls
+from . import decontam, embeddings, lines, simhash, spans, urls
 from .common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage like a benchmark item, and that item."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -20,6 +25,11 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat a passage from before."""
+    return spans.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page by the list entries that were valid when it was fetched."""
     pages = table(spark, sf_dir, "pages")
@@ -32,8 +42,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontamination": op2_decontamination,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op9_line_dedup": op9_line_dedup,
 }
