@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, lines, simhash, spans, urls
+from . import decontam, embeddings, lines, simhash, spans, urls, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page after a round trip through WARC archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
