@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, lines, simhash, spans, urls, warc
+from . import decontam, embeddings, language, lines, simhash, spans, urls, warc
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(urls.derived_captures(pages), urls.derived_entries(pages))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three folds of four."""
+    return language.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its site's boilerplate lines."""
     return lines.line_dedup(table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
 }
 
