@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, language, lines, simhash, spans, toxicity, urls, warc
+from . import decontam, embeddings, language, lines, packing, simhash, spans, toxicity, urls, warc
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in training sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
+    "op4_packing": op4_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
