@@ -221,7 +221,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that match no benchmark item. Rows without an id stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("found_id"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has no window like a benchmark item (see `contaminated`)."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for block in _blocks(benchmark, at_once):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches, shared=shared):
+            index = ItemIndex(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.matches(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs

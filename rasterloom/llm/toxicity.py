@@ -284,6 +284,22 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below the threshold."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def clean(batches):
+        model = shared.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                if model is not None:
+                    batch = batch.filter(pa.array(model.scores([x or "" for x in batch.column(at).to_pylist()])[0] < threshold))
+                yield batch
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def fold_of(column: str = "doc_id", folds: int = 3):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
