@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import color_queries, region_queries
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (color_queries, region_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE

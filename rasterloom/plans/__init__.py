@@ -1 +1 @@
-"""plans of the raster analytics engine."""
+"""Registered queries: operators wired to the driver's tables, each with its checking SQL."""
