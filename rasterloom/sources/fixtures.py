@@ -105,3 +105,58 @@ CASES = """cases AS (
   SELECT CASE WHEN l_linestatus = 'F' THEN 'base' ELSE 'cand' END AS result_set, concat(l_suppkey, '_', l_returnflag) AS case_id, l_suppkey AS image, l_returnflag AS preset,
     avg(l_discount) * 100 AS de00_mean, CASE WHEN l_suppkey % 13 <> 0 THEN 1 - avg(l_tax) END AS ssim, CAST(count(*) AS DOUBLE) AS regions, avg(l_quantity) / 10 AS median_total_s
   FROM lineitem WHERE NOT (l_linestatus <> 'F' AND l_suppkey % 17 = 0) GROUP BY l_linestatus, l_suppkey, l_returnflag)"""
+
+
+# ---- benchmark quality, long ----------------------------------------------------------------------------------------
+
+#: Metric and its value from the averages of a case: d (discount), t (tax), q (quantity), n (line items).
+_METRICS = (
+    ("de00_mean", "d * 100"), ("regions", "n"), ("sliver_area_fraction", "t / 4"), ("jaggedness", "0.98 + t"), ("lines_per_boundary_clear", "0.92 + d * 2"),
+    ("palette_min_de00", "q / 2"), ("palette_margin_de00", "10 + d * 40"), ("ink_print_precision", "0.99 - t"), ("ink_reference_exact", "case when q > 25 then 1.0 else 0.0 end"),
+)
+
+
+def case_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """case(result_set, case_id, image, preset, size, d, t, q, n)."""
+    rows = table(spark, folder, "lineitem").groupBy("l_linestatus", "l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.avg("l_quantity").alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
+    rows = rows.where(~((F.col("l_linestatus") != "F") & (F.col("l_suppkey") % 17 == 0)))
+    return rows.select(
+        F.when(F.col("l_linestatus") == "F", "base").otherwise("cand").alias("result_set"), F.concat_ws("_", F.col("l_suppkey").cast("string"), "l_returnflag").alias("case_id"), F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("preset"),
+        F.when(F.col("l_suppkey") % 3 == 0, "export").otherwise("preview").alias("size"), "d", "t", "q", "n",
+    )
+
+
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """quality(result_set, case_id, image, preset, size, metric, value); ssim is null for every 13th image."""
+    cases = case_stats(spark, folder)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("value")) for m, e in _METRICS], F.struct(F.lit("ssim").alias("metric"), F.expr("case when image % 13 <> 0 then 1 - t end").alias("value")))
+    return cases.select("result_set", "case_id", "image", "preset", "size", F.explode(each).alias("m")).select("result_set", "case_id", "image", "preset", "size", "m.metric", "m.value")
+
+
+def categories(spark: SparkSession, folder: str) -> DataFrame:
+    """category(case_id, category): one or two for each case."""
+    cases = case_stats(spark, folder).select("case_id", "image").distinct()
+    of = F.array_distinct(F.array(F.element_at(F.array(F.lit("photo"), F.lit("cartoon"), F.lit("flat")), (F.col("image") % 3 + 1).cast("int")), F.element_at(F.array(F.lit("photo"), F.lit("face")), (F.col("image") % 2 + 1).cast("int"))))
+    return cases.select("case_id", F.explode(of).alias("category"))
+
+
+def edges(spark: SparkSession, folder: str) -> DataFrame:
+    """edge(result_set, case_id, edge): the long edge of a case's page."""
+    return case_stats(spark, folder).select("result_set", "case_id", F.when(F.col("result_set") == "base", F.lit(1100)).otherwise(1100 + F.col("image") % 15).cast("long").alias("edge"))
+
+
+_D = "::DOUBLE"
+STATS = """stats AS (
+  SELECT CASE WHEN l_linestatus = 'F' THEN 'base' ELSE 'cand' END AS result_set, concat(l_suppkey, '_', l_returnflag) AS case_id, l_suppkey AS image, l_returnflag AS preset,
+    CASE WHEN l_suppkey % 3 = 0 THEN 'export' ELSE 'preview' END AS size, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_quantity) AS q, CAST(count(*) AS DOUBLE) AS n
+  FROM lineitem WHERE NOT (l_linestatus <> 'F' AND l_suppkey % 17 = 0) GROUP BY l_linestatus, l_suppkey, l_returnflag)"""
+QUALITY = (
+    STATS
+    + ", quality AS ("
+    + " UNION ALL ".join(
+        f"SELECT result_set, case_id, image, preset, size, '{m}' AS metric, CAST({e.replace('0.98', '0.98' + _D).replace('0.92', '0.92' + _D).replace('0.99', '0.99' + _D)} AS DOUBLE) AS value FROM stats"
+        for m, e in (*_METRICS, ("ssim", "case when image % 13 <> 0 then 1 - t end"))
+    )
+    + """), cat AS (SELECT DISTINCT case_id, unnest([['photo', 'cartoon', 'flat'][image % 3 + 1], ['photo', 'face'][image % 2 + 1]]) AS category FROM stats),
+  edge AS (SELECT result_set, case_id, CASE WHEN result_set = 'base' THEN 1100 ELSE 1100 + image % 15 END AS edge FROM stats)"""
+)
