@@ -11,7 +11,8 @@ MAX_ROUNDS = 60
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of `links` (a long, b long): component is the smallest node that links reach.
+    """(node, component) for the nodes of `links` (a long, b long) that are not the smallest of their group: component is the
+    smallest node that links reach, and has no row itself.
 
     Alternating large-star and small-star rounds over a table of links u > v. Each round costs two aggregations, which
     combine before their shuffle, and two joins of written tables, whose hot keys (the hub of a large group) adaptive

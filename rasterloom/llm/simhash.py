@@ -5,10 +5,12 @@ order differ in few bits. Runs of neighbours share the bits in which all of them
 out into an upper node. A query walks down from the top, adds the differences it finds in each node's masked pattern,
 and drops a whole group as soon as the sum passes the radius.
 
-The top of the hierarchy is dealt out over the cluster: a top node is a prefix of bits (Gray rank and pattern share
-their prefix groups). A fingerprint is a member of the node of its own prefix and a visitor of every larger prefix
-within the radius, so each pair meets in exactly one task. Nodes with too many members are split by further bits, again
-and again, with the differences so far carried along; no task gets more than a bounded part of the table.
+The top of the hierarchy is dealt out over the cluster. Two fingerprints within the radius agree in one of radius + 1
+blocks of bits, so there is a hierarchy for each block, in which the fingerprints are turned so that the block comes
+first; its top nodes are masked patterns of as many leading bits of the block as the table's size asks for. A top node
+that still has too many members is split by further bits, again and again: a fingerprint is a member of the child of its
+own bits and a visitor of the larger children within the radius, with the differences so far carried along. No task gets
+more than a bounded part of the table.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, field
 from .graph import components
 
 #: Members of a top node before it is split, and bits by which it is split.
@@ -175,48 +177,48 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in on) for r in range(min(radius, bits) + 1) for on in combinations(range(bits), r)]
 
 
+def _turned(radius: int) -> list[int]:
+    """Where the radius + 1 blocks of bits begin, from the most significant; two fingerprints within the radius agree in one."""
+    return [64 * i // (radius + 1) for i in range(radius + 1)]
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = 2, max_far: int | None = None, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join all nodes of each group whose fingerprints are chained by `radius` or fewer differing bits.
 
     nodes: a written table (node long, fp long, tab int[, sketch binary]); tab numbers independent fingerprint tables.
-    A task returns the links of a spanning star for each group it sees, never all pairs of a group.
+    With `max_far`, the sketches of linked nodes differ in that many bits at most too. Each fingerprint is dealt out
+    radius + 1 times, however large the table. A task returns the links of a spanning star for each group it sees,
+    never all pairs of a group.
     """
     extra = ["sketch"] if max_far is not None else []
     n = nodes.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
-    depth = min(20, max(0, math.ceil(math.log2(max(1, n) / block))))
-    own = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    masks = _masks(depth, radius)
-    rows = (
-        nodes.withColumn("own", own)
-        .withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
-        .withColumn("cell", F.col("own").bitwiseXOR(F.col("mask")))
-        .where("cell >= own")
-        .select("tab", "cell", "node", "fp", *extra, F.bit_count("mask").cast("int").alias("diff"), (F.col("mask") == 0).alias("member"))
-    )
-    parts = []
+    depth = min(64 // (radius + 1), max(0, math.ceil(math.log2(max(1, n) / block))))
+    turn = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", 64 - k)) if k else F.col("fp")
+    turns = F.array(*[F.struct(F.lit(i).alias("turn"), turn(k).alias("fp")) for i, k in enumerate(_turned(radius))])
+    rows = nodes.withColumn("t", F.explode(turns)).select("tab", F.col("t.turn").alias("turn"), F.col("t.fp").alias("fp"), "node", *extra)
+    cell = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    rows = rows.select("tab", "turn", cell.alias("cell"), "node", "fp", *extra, F.lit(0).alias("diff"), F.lit(True).alias("member"))
+    keys, parts = ["tab", "turn", "cell"], []
     while True:
-        sizes = nodes.select("tab", own.alias("cell")) if not parts else rows.where("member").select("tab", "cell")
-        large = sizes.groupBy("tab", "cell").count().where(F.col("count") > block).select("tab", "cell")
-        large = cut(large, "large-cells")
+        members = rows.where("member").groupBy(*keys).count().where(F.col("count") > 4 * block).select(*keys)
+        large = cut(members, "large-cells")
         split = depth < 64 and not large.isEmpty()
-        done = rows.join(large, ["tab", "cell"], "left_anti") if split else rows
-        keys = ["tab", "cell"]
-        schema = "a long, b long"
-        parts.append(done.groupBy(*keys).applyInArrow(lambda group: _links(group, radius, max_far), schema))
+        done = rows.join(large, keys, "left_anti") if split else rows
+        parts.append(done.groupBy(*keys).applyInArrow(lambda group: _links(group, radius, max_far), "a long, b long"))
         if not split:
             break
         bits = min(SPLIT_BITS, 64 - depth)
         depth += bits
         below = F.shiftrightunsigned("fp", 64 - depth).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        rows = rows.join(large, ["tab", "cell"], "left_semi")
         rows = (
-            rows.withColumn("own", below)
+            rows.join(large, keys, "left_semi")
+            .withColumn("own", below)
             .withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(bits, radius)])))
             .withColumn("more", F.col("diff") + F.bit_count("mask").cast("int"))
             .withColumn("part", F.col("own").bitwiseXOR(F.col("mask")))
-            # a visitor from a smaller prefix goes on to every child in reach, a member only to larger children
+            # a visitor goes on to every child in reach, a member beside its own only to larger ones, so a pair meets once
             .where(f"more <= {radius} and (not member or part >= own)")
-            .select("tab", (F.shiftleft("cell", bits).bitwiseOR(F.col("part"))).alias("cell"), "node", "fp", *extra, F.col("more").alias("diff"), (F.col("member") & (F.col("mask") == 0)).alias("member"))
+            .select("tab", "turn", (F.shiftleft("cell", bits).bitwiseOR(F.col("part"))).alias("cell"), "node", "fp", *extra, F.col("more").alias("diff"), (F.col("member") & (F.col("mask") == 0)).alias("member"))
         )
         rows = cut(rows, "cells")
     out = parts[0]
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int
 # ---- similar texts --------------------------------------------------------------------------------------------------
 
 #: Independent fingerprints of a text's words (index tables), and 64-bit words of the sketch of its shingles.
-TABLES, SKETCH = 4, 8
+TABLES, SKETCH = 6, 8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -283,7 +285,7 @@ def farthest(similarity: float) -> int:
     return round(bits * angle + 1.5 * math.sqrt(bits * angle * (1 - angle)))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) of every document with an id: groups of texts whose shingles of five words are similar by 0.8.
 
     The Gray-order index finds texts of which one of TABLES fingerprints of the words differs in `radius` bits or fewer:
@@ -304,7 +306,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     found = cut(texts.mapInArrow(run, "doc_id long, fps array<long>, sketch binary, words binary"), "signatures")
     nodes = cut(found.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(F.struct("sketch", "fps")).alias("x")).select("words", "node", "x.fps", "x.sketch"), "texts")
     tables = cut(nodes.select("node", "sketch", F.posexplode("fps").alias("tab", "fp")), "tables")
-    groups = components(fingerprint_links(tables, radius, farthest(similarity), 4 * BLOCK))
+    groups = components(fingerprint_links(tables, radius, farthest(similarity), 2 * BLOCK))
     drop_cut(tables)
     classes = cut(nodes.join(groups, "node", "left").select("words", F.coalesce("component", "node").alias("component_id")), "classes")
     return found.select("doc_id", "words").join(classes, "words").select("doc_id", "component_id")
@@ -313,11 +315,13 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, without those of documents that are similar to one with a smaller doc_id in their
     group. Of rows that repeat a doc_id one stays, any. Rows without an id stay."""
+    loser, again = field("loser_id", docs), field("again_id", docs)
     groups = similar_documents(docs, size, similarity)
-    losers = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("loser")).distinct(), "losers")
-    kept = docs.join(losers, F.col("doc_id").cast("long") == F.col("loser"), "left_anti")
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
-    if again.isEmpty():
+    losers = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(loser)).distinct(), "losers")
+    kept = docs.join(losers, F.col("doc_id").cast("long") == F.col(loser), "left_anti")
+    repeats = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again)
+    repeats = cut(repeats, "repeated-ids")
+    if repeats.isEmpty():
         return kept
-    single = kept.join(again, F.col("doc_id") == F.col("again"), "left_anti")
-    return single.union(kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"]))
+    single = kept.join(repeats, F.col("doc_id") == F.col(again), "left_anti")
+    return single.union(kept.join(repeats, F.col("doc_id") == F.col(again), "left_semi").dropDuplicates(["doc_id"]))
