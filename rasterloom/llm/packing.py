@@ -12,9 +12,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +27,12 @@ LENGTH, UNIT, END = 4096, 8, 2
 #: The linear program stops within this share of its lower bound, or after so many new patterns.
 GAP, ROUNDS = 2e-4, 4000
 #: Words whose ids a task remembers.
-KEPT = 300_000
-#: Texts with these are given to the tokenizer whole: characters that Python and the tokenizer may not both take for a
-#: blank, and what could begin a special token.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
+KEPT = 700_000
+#: Texts with other characters than these are given to the tokenizer whole: ASCII but for four that Python takes for blanks,
+#: Latin letters but for the dotted capital I, and common signs; and texts with what could begin a special token.
+_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]|<\\|")
+#: The tokenizer's own cut of a normalized word into parts, each of which it merges alone and ends with a word end.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordIds(dict):
@@ -38,20 +42,43 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        value = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = value
-        return value
-
-    def encode(self, text: str | None) -> bytes:
-        """Token ids of a whole text."""
-        text = text or ""
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.parts: dict[str, bytes] = {}
+        ends = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: their new parts are encoded in one call, and its ids cut at the word ends."""
+        cuts = {w: _PARTS.findall(w) for w in words}
+        fresh = list({p for c in cuts.values() for p in c if p not in self.parts})
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, before = ids.tobytes(), 0
+                for part, stop in zip(some, (4 * stops).tolist(), strict=True):
+                    self.parts[part] = raw[before:stop]
+                    before = stop
+            else:  # a vocabulary without word ends
+                self.parts |= {part: self._whole(part) for part in some}
+        known = self.parts
+        for w, parts in cuts.items():
+            self[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Token ids of whole texts."""
         if len(self) > KEPT:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+            self.parts.clear()
+        split = [None if _ODD.search(t or "") else (t or "").lower().split() for t in texts]
+        fresh = {w for words in split if words for w in words if w not in self}
+        if fresh:
+            self._learn(list(fresh))
+        return [self._whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 def tokenizer_path() -> str:
@@ -73,9 +100,10 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, unit:
     def run(batches):
         words, part, placed = WordIds(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.encode(text) + end
+            rows, texts = [], batch.column(1).to_pylist()
+            encoded = chain.from_iterable(words.encode_all(texts[at : at + 64]) for at in range(0, len(texts), 64))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids = ids + end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     own = ids[4 * start : 4 * (start + length)]

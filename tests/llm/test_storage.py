@@ -102,6 +102,7 @@ def test_words_are_tokenized_like_whole_texts():
 
     rng, letters = random.Random(5), list("abAZ éñ\n\t.,!'01-_Σςİﬁ가ᄀ中\U0001f642̧́­​‍\x85\xa0\x1c　\x00|<>")
     tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
-    for i in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 24))) + "<|endoftext|>" * (i % 50 == 0)
-        assert words.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 24))) + "<|endoftext|>" * (i % 50 == 0) for i in range(6000)] + ["I'll we've 'tis ''s &&'s 'S x'RE", "THE!! And,And \u0130x \u01c5", "a" * 5000]
+    for at in range(0, len(texts), 61):
+        got = words.encode_all(texts[at : at + 61])
+        assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[at : at + 61]]
