@@ -119,4 +119,4 @@ def quality_table(quality: DataFrame, metrics: DataFrame) -> DataFrame:
     """(case_id, metric, before, after, delta): the candidate's value for each case, with the base's where it has one."""
     side = lambda name, to: quality.where(F.col("result_set") == name).select("case_id", "metric", F.col("value").alias(to))
     both = side("cand", "after").join(side("base", "before"), ["case_id", "metric"], "left").join(F.broadcast(metrics.select("metric")), "metric", "left_semi")
-    return both.select("case_id", "metric", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(F.col("after") - F.col("before"), 6).alias("delta"))
+    return both.select("case_id", "metric", F.round("before", 10).alias("before"), F.round("after", 10).alias("after"), F.round(F.col("after") - F.col("before"), 10).alias("delta"))

@@ -59,7 +59,7 @@ def _quads(s, d):
 _POINTS = "pt AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 1901) / 10::DOUBLE AS x, (c_custkey * 53 % 1501) / 10::DOUBLE AS y FROM customer)"
 
 QUERIES = {
-    "target_misses": lambda s, d: B.target_misses(*_args(s, d)).select("result_set", "case_id", "metric", F.round("value", 6).alias("value"), "miss"),
+    "target_misses": lambda s, d: B.target_misses(*_args(s, d)).select("result_set", "case_id", "metric", F.round("value", 10).alias("value"), "miss"),
     "meets_targets": lambda s, d: B.meets_targets(*_args(s, d)).select("result_set", "case_id", "job", "targets", "missed", "met"),
     "changes": lambda s, d: B.changes(*_args(s, d)).select("case_id", "metric", F.round("worse", 6).alias("worse"), "sigma"),
     "regressions": lambda s, d: B.regressions(_worse(s, d), metrics(s), X.categories(s, d)),
@@ -88,7 +88,7 @@ _SIDES = "[(q[2].x - q[1].x) * (p.y - q[1].y) - (q[2].y - q[1].y) * (p.x - q[1].
 _QUADS = "quad AS (SELECT box_id AS quad_id, [{'x': x::DOUBLE, 'y': y::DOUBLE + 1}, {'x': x::DOUBLE + w, 'y': y::DOUBLE}, {'x': x::DOUBLE + w + 1, 'y': y::DOUBLE + h}, {'x': x::DOUBLE + 1, 'y': y::DOUBLE + h + 1}] AS q FROM box)"
 
 ORACLE = {
-    "target_misses": f"WITH {_Q} SELECT result_set, case_id, metric, round(value, 6) AS value, miss FROM missed",
+    "target_misses": f"WITH {_Q} SELECT result_set, case_id, metric, round(value, 10) AS value, miss FROM missed",
     "meets_targets": f"WITH {_Q} SELECT result_set, case_id, job, count(*) AS targets, count(*) FILTER (miss) AS missed, NOT bool_or(miss) AS met FROM missed GROUP BY 1, 2, 3",
     "changes": f"WITH {_Q} SELECT case_id, metric, round(worse, 6) AS worse, sigma FROM ch",
     "regressions": f"""WITH {_W}, e AS (SELECT metric, category AS "group", worse, sigma FROM ch JOIN cat USING (case_id) UNION ALL SELECT metric, 'all', worse, sigma FROM ch),
@@ -113,7 +113,7 @@ ORACLE = {
       e AS (SELECT result_set, 'quantize' AS stage, sum(q / 100) AS s FROM done GROUP BY 1 UNION ALL SELECT result_set, 'regions', sum(n / 1000) FROM done GROUP BY 1 UNION ALL SELECT result_set, 'render', sum(d + t) FROM done GROUP BY 1)
       SELECT result_set, stage, round(s, 6) AS seconds, round(s / sum(s) OVER (PARTITION BY result_set), 6) AS share FROM e""",
     "drift_notes": f"WITH {X.STATS} SELECT a.case_id, a.n AS before, b.n AS after FROM stats a JOIN stats b ON a.case_id = b.case_id AND a.result_set = 'base' AND b.result_set = 'cand' WHERE abs(b.n - a.n) / a.n > 0.15::DOUBLE",
-    "quality_table": f"""WITH {_Q} SELECT b.case_id, b.metric, round(a.value, 6) AS before, round(b.value, 6) AS after, round(b.value - a.value, 6) AS delta FROM (SELECT * FROM quality WHERE result_set = 'cand') b
+    "quality_table": f"""WITH {_Q} SELECT b.case_id, b.metric, round(a.value, 10) AS before, round(b.value, 10) AS after, round(b.value - a.value, 10) AS delta FROM (SELECT * FROM quality WHERE result_set = 'cand') b
       LEFT JOIN (SELECT * FROM quality WHERE result_set = 'base') a ON a.case_id = b.case_id AND a.metric = b.metric WHERE b.metric IN (SELECT metric FROM metric)""",
     "box_mask": f"WITH {_IN} SELECT * FROM hit",
     "labels_on_boxes": f"""WITH {X.BOXES}, o AS (SELECT p.image_id, p.box_id AS a, q.box_id AS b, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x) AS w, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y) AS h FROM box p JOIN box q ON p.box_id < q.box_id)

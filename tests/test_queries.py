@@ -26,7 +26,7 @@ def plain(row):
         if v is None or isinstance(v, float) and math.isnan(v):
             out.append((1, ""))
         elif isinstance(v, float):
-            out.append((0, repr(round(v, 6) + 0.0)))
+            out.append((0, repr(round(v, 8) + 0.0)))
         else:
             out.append((0, str(v.date() if isinstance(v, datetime.datetime) else v)))
     return tuple(out)
