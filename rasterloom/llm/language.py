@@ -80,21 +80,27 @@ class CrossParser:
         self.rows, self.words, self.costs = [np.zeros(len(self.langs) + 1)], {}, None
 
     def _row(self, token: str) -> int:
-        """Row of phrase costs, and characters, of a token's words."""
-        row = np.zeros(len(self.langs) + 1)
-        for word in _RUN.findall(token.lower()):
-            if any(map(str.isalpha, word)):
-                marked = f" {word} "
-                row[:-1] += self.unit * [a.phrases(marked) for a in self.automata]
-                row[-1] += len(marked)
-        self.words[token] = at = len(self.rows) if row[-1] else 0
-        if at:
-            self.rows.append(row)
+        """Row of phrase costs, and characters, of a token's words; tokens of the same one word share it."""
+        words = [w for w in _RUN.findall(token) if any(map(str.isalpha, w))]
+        key = words[0] if len(words) == 1 else token
+        at = self.words.get(key, -1) if key != token else -1
+        if at < 0:
+            at = 0
+            if words:
+                row = np.zeros(len(self.langs) + 1)
+                for word in words:
+                    marked = f" {word} "
+                    row[:-1] += self.unit * [a.phrases(marked) for a in self.automata]
+                    row[-1] += len(marked)
+                at = len(self.rows)
+                self.rows.append(row)
+            self.words[key] = at
+        self.words[token] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and 1 minus its cost over the second's; ('und', 0.0) without a letter."""
-        total, tokens = np.zeros(len(self.langs) + 1), (text or "").split()
+        total, tokens = np.zeros(len(self.langs) + 1), (text or "").lower().split()
         for at in range(0, len(tokens), 20_000):
             if len(self.words) > KEPT:
                 self._clear()
