@@ -140,8 +140,8 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _links(group: pa.Table, radius: int, max_far: int | None) -> pa.Table:
-    """Links of one top node: each node of a group to the smallest of it. With `max_far`, sketches must be that close too."""
+def _links(group: pa.Table, radius: int) -> pa.Table:
+    """Links of one top node: each node of a group to the smallest of it."""
     member = group["member"].to_numpy(zero_copy_only=False)
     order = np.argsort(group["node"].to_numpy(), kind="stable")  # so that a smaller position is a smaller node
     order = np.concatenate([order[member[order]], order[~member[order]]])
@@ -150,18 +150,12 @@ def _links(group: pa.Table, radius: int, max_far: int | None) -> pa.Table:
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not count:
         return empty
-    sketch = None
-    if max_far is not None:
-        sketch = np.frombuffer(b"".join(group["sketch"].combine_chunks().to_pylist()), np.uint64).reshape(len(nodes), -1)[order]
     index, label = GrayIndex(fps[:count]), np.arange(len(nodes))
     step = max(16, (1 << 21) // max(1, count))
     for at in range(0, len(nodes), step):
         q, m = index.search(fps[at : at + step], radius)
         q = q + at
         keep = q != m
-        if sketch is not None:
-            for part in np.array_split(np.flatnonzero(keep), max(1, len(q) >> 19)):
-                keep[part] = np.bitwise_count(sketch[q[part]] ^ sketch[m[part]]).sum(axis=1, dtype=np.int32) <= max_far
         merge_labels(label, q[keep], m[keep])
     linked = label != np.arange(len(nodes))
     least = np.full(len(nodes), np.iinfo(np.int64).max)
@@ -182,29 +176,27 @@ def _turned(radius: int) -> list[int]:
     return [64 * i // (radius + 1) for i in range(radius + 1)]
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 2, max_far: int | None = None, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join all nodes of each group whose fingerprints are chained by `radius` or fewer differing bits.
 
-    nodes: a written table (node long, fp long, tab int[, sketch binary]); tab numbers independent fingerprint tables.
-    With `max_far`, the sketches of linked nodes differ in that many bits at most too. Each fingerprint is dealt out
-    radius + 1 times, however large the table. A task returns the links of a spanning star for each group it sees,
-    never all pairs of a group.
+    nodes: a written table (node long, fp long, tab int); tab numbers independent fingerprint tables. Each fingerprint
+    is dealt out radius + 1 times, however large the table. A task returns the links of a spanning star for each group
+    it sees, never all pairs of a group.
     """
-    extra = ["sketch"] if max_far is not None else []
     n = nodes.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
     depth = min(64 // (radius + 1), max(0, math.ceil(math.log2(max(1, n) / block))))
     turn = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", 64 - k)) if k else F.col("fp")
     turns = F.array(*[F.struct(F.lit(i).alias("turn"), turn(k).alias("fp")) for i, k in enumerate(_turned(radius))])
-    rows = nodes.withColumn("t", F.explode(turns)).select("tab", F.col("t.turn").alias("turn"), F.col("t.fp").alias("fp"), "node", *extra)
+    rows = nodes.withColumn("t", F.explode(turns)).select("tab", F.col("t.turn").alias("turn"), F.col("t.fp").alias("fp"), "node")
     cell = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    rows = rows.select("tab", "turn", cell.alias("cell"), "node", "fp", *extra, F.lit(0).alias("diff"), F.lit(True).alias("member"))
+    rows = rows.select("tab", "turn", cell.alias("cell"), "node", "fp", F.lit(0).alias("diff"), F.lit(True).alias("member"))
     keys, parts = ["tab", "turn", "cell"], []
     while True:
         members = rows.where("member").groupBy(*keys).count().where(F.col("count") > 4 * block).select(*keys)
         large = cut(members, "large-cells")
         split = depth < 64 and not large.isEmpty()
         done = rows.join(large, keys, "left_anti") if split else rows
-        parts.append(done.groupBy(*keys).applyInArrow(lambda group: _links(group, radius, max_far), "a long, b long"))
+        parts.append(done.groupBy(*keys).applyInArrow(lambda group: _links(group, radius), "a long, b long"))
         if not split:
             break
         bits = min(SPLIT_BITS, 64 - depth)
@@ -218,7 +210,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, max_far: int | None = N
             .withColumn("part", F.col("own").bitwiseXOR(F.col("mask")))
             # a visitor goes on to every child in reach, a member beside its own only to larger ones, so a pair meets once
             .where(f"more <= {radius} and (not member or part >= own)")
-            .select("tab", "turn", (F.shiftleft("cell", bits).bitwiseOR(F.col("part"))).alias("cell"), "node", "fp", *extra, F.col("more").alias("diff"), (F.col("member") & (F.col("mask") == 0)).alias("member"))
+            .select("tab", "turn", (F.shiftleft("cell", bits).bitwiseOR(F.col("part"))).alias("cell"), "node", "fp", F.col("more").alias("diff"), (F.col("member") & (F.col("mask") == 0)).alias("member"))
         )
         rows = cut(rows, "cells")
     out = parts[0]
@@ -245,69 +237,157 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int
 
 # ---- similar texts --------------------------------------------------------------------------------------------------
 
-#: Independent fingerprints of a text's words (index tables), and 64-bit words of the sketch of its shingles.
-TABLES, SKETCH = 6, 8
+#: Keys of a text, and least values of its shingles in a key: of texts of similarity 0.8, 5e-5 share no key.
+KEYS, PER_KEY = 25, 5
+#: Least values of a text; two bits of each are its sketch.
+MINIMA = 128
+#: Deviations by which an estimate from sketches may fall short: loses 1e-5 at the similarity asked for.
+SLACK = 4.3
+#: Keys by which texts are chained before the pairs that are left are listed.
+CHAINED = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mixed(codes: np.ndarray, count: int) -> np.ndarray:
-    """`count` independent hashes of each code: (codes x count)."""
-    x = codes[:, None] + np.arange(1, count + 1, dtype=np.uint64)[None, :] * _MIX[0]
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _majorities(codes: np.ndarray, count: int) -> np.ndarray:
-    """`count` fingerprints of a multiset of codes."""
-    ones = np.zeros(64 * count, np.int64)
-    for at in range(0, len(codes), CHUNK >> 3):
-        rows = _mixed(codes[at : at + (CHUNK >> 3)], count)
-        ones += np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(codes)).view(np.uint64)
-
-
-def signature(text: bytes | None, size: int = 5) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(TABLES fingerprints of the words, sketch of the shingles of `size` words, digest of the word sequence) of a whole text."""
+def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Hashes of the different shingles of `size` words of a text, sorted; of the whole sequence where it has fewer words."""
     words = (text or b"").lower().split()
     codes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
     width = min(size, len(codes))
     runs = np.zeros(len(codes) - width + 1 if len(codes) else 0, np.uint64)
     for i in range(width):
         runs = (runs ^ (runs >> np.uint64(32))) * _MIX[i % len(_MIX)] + codes[i : i + len(runs)]
-    return _majorities(codes, TABLES), _majorities(runs, SKETCH), xxhash.xxh3_128_digest(b" ".join(words))
+    return np.unique(runs ^ (runs >> np.uint64(29)))
+
+
+def signature(text: bytes | None, size: int = 5) -> tuple[np.ndarray, int, bytes, bytes]:
+    """(KEYS keys, number of different shingles, sketch, digest of the word sequence) of a whole text; no keys without words."""
+    codes = shingle_set(text, size)
+    least = np.full(MINIMA, ~np.uint64(0))
+    for at in range(0, len(codes), CHUNK >> 4):
+        np.minimum(least, (codes[at : at + (CHUNK >> 4), None] * _FACTORS[None, :]).min(axis=0), out=least)
+    keys = np.arange(KEYS, dtype=np.uint64)
+    for part in least[: KEYS * PER_KEY].reshape(KEYS, PER_KEY).T:
+        keys = (keys ^ (keys >> np.uint64(32))) * _MIX[0] + (part ^ (part >> np.uint64(31))) * _MIX[1]
+    bits = np.unpackbits(((least >> np.uint64(24)) & np.uint64(3)).astype(np.uint8)[:, None], axis=1)[:, 6:]
+    return keys if len(codes) else keys[:0], len(codes), np.packbits(bits).tobytes(), xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
 
 
 def farthest(similarity: float) -> int:
-    """Bits of a sketch in which texts of that shingle similarity differ: their expected number and one and a half deviations."""
-    angle = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    bits = 64 * SKETCH
-    return round(bits * angle + 1.5 * math.sqrt(bits * angle * (1 - angle)))
+    """Of MINIMA pairs of bits, those in which texts of that similarity differ: their expected number and SLACK deviations."""
+    apart = 0.75 * (1 - similarity)
+    return math.ceil(MINIMA * apart + SLACK * math.sqrt(MINIMA * apart * (1 - apart)))
+
+
+def _near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the texts at i and j may have that similarity, by their numbers of shingles and their sketches."""
+    few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    near = few >= similarity * many - 1e-9
+    differs = sketch[i[near]] ^ sketch[j[near]]
+    differs = (differs | (differs >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    near[near] = np.bitwise_count(differs).sum(axis=1, dtype=np.int32) <= farthest(similarity)
+    return near
+
+
+def _columns(table) -> tuple[np.ndarray, ...]:
+    """tab, key, node, n and sketches of entries."""
+    tab, key, node, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "key", "node", "n"))
+    return tab, key, node, n, np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> dict:
+    return {"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}
+
+
+def _chained(entries: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that follow one another under the same key. A large key is spread over tasks; pairs across tasks are left out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                tab, key, node, n, sketch = _columns(batch)
+                at = np.flatnonzero((tab[1:] == tab[:-1]) & (key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+                at = at[_near(n, sketch, at, at + 1, similarity)]
+                yield pa.RecordBatch.from_pydict(_pairs(node[at], node[at + 1]))
+
+    order = ["tab", "key", "node"]
+    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(group: pa.Table, similarity: float) -> pa.Table:
+    """All pairs (a, b) of texts that share a key but are in different groups so far, and may be similar."""
+    _, key, node, n, sketch = _columns(group)
+    joined = group.column("joined").to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, node, n, sketch, joined = key[order], node[order], n[order], sketch[order], joined[order]
+    at, step, a, b = np.arange(len(key)), 0, [node[:0]], [node[:0]]
+    while len(at):
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        i = at[joined[at] != joined[at + step]]
+        i = i[_near(n, sketch, i, i + step, similarity)]
+        a.append(node[i])
+        b.append(node[i + step])
+    return pa.table(_pairs(np.concatenate(a), np.concatenate(b)))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts share `similarity` of their different shingles, counted exactly."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).where("node is not null")
+    texts = cut(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "pair-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[bytes, np.ndarray] = {}
+            keep = []
+            for texts in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                for text in texts:
+                    if text not in seen:
+                        seen[text] = shingle_set(text, size)
+                x, y = (seen[text] for text in texts)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "similar-pairs")
+    drop_cut(texts)
+    return out
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """(doc_id, component_id) of every document with an id: groups of texts whose shingles of five words are similar by 0.8.
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every document with an id: groups of texts chained by similarity 0.8 or more, the shared
+    part of their different shingles of five words.
 
-    The Gray-order index finds texts of which one of TABLES fingerprints of the words differs in `radius` bits or fewer:
-    texts that share 0.8 of their five-word shingles differ in some hundredths of their words, so in few of these bits.
-    Pairs found are accepted by their sketches, SimHashes of 512 bits of the shingles, from which the similarity is
-    estimated with a deviation of some 0.035. Texts with the same words are one node. Null and empty texts are alike.
+    A text has KEYS keys, each of PER_KEY least shingles under as many hashes, so that two texts share a given key with
+    probability similarity ** PER_KEY wherever their words differ. Pairs with a key in common whose sketches may be that
+    similar are verified by their shingles. Pairs in a row under the first keys come first; then all pairs that are
+    still in different groups, so a group is not compared throughout. Texts with the same words are one node. Null and
+    empty texts are alike.
     """
 
     def run(batches):
         for batch in batches:
             found = [signature(x, size) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.view(np.int64).tolist() for f, _, _ in found], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s, _ in found], pa.binary()), pa.array([d for _, _, d in found], pa.binary())],
-                ["doc_id", "fps", "sketch", "words"],
+                [batch.column(0), pa.array([k.view(np.int64).tolist() for k, *_ in found], pa.list_(pa.int64())), pa.array([n for _, n, *_ in found], pa.int32()), pa.array([s for *_, s, _ in found], pa.binary()), pa.array([d for *_, d in found], pa.binary())],
+                ["doc_id", "keys", "n", "sketch", "words"],
             )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    found = cut(texts.mapInArrow(run, "doc_id long, fps array<long>, sketch binary, words binary"), "signatures")
-    nodes = cut(found.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(F.struct("sketch", "fps")).alias("x")).select("words", "node", "x.fps", "x.sketch"), "texts")
-    tables = cut(nodes.select("node", "sketch", F.posexplode("fps").alias("tab", "fp")), "tables")
-    groups = components(fingerprint_links(tables, radius, farthest(similarity), 2 * BLOCK))
-    drop_cut(tables)
+    found = cut(texts.mapInArrow(run, "doc_id long, keys array<long>, n int, sketch binary, words binary"), "signatures")
+    nodes = cut(found.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(F.struct("n", "sketch", "keys")).alias("x")).select("words", "node", "x.n", "x.sketch", "x.keys"), "texts")
+    first = nodes.select("node", "n", "sketch", F.posexplode(F.slice("keys", 1, CHAINED)).alias("tab", "key"))
+    tried = cut(_chained(first, similarity), "chained-pairs")
+    links = verified(tried, docs, size, similarity)
+    groups = cut(components(links), "groups-so-far")
+    cells = max(1, math.ceil(nodes.count() / BLOCK))
+    entries = nodes.join(groups, "node", "left").select("node", "n", "sketch", F.coalesce("component", "node").alias("joined"), F.posexplode("keys").alias("tab", "key"))
+    dealt = entries.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
+    left = dealt.groupBy("tab", "cell").applyInArrow(lambda group: _across(group, similarity), "a long, b long").distinct()
+    left = cut(left.join(tried, ["a", "b"], "left_anti"), "pairs-left")
+    groups = components(links.union(verified(left, docs, size, similarity)))
     classes = cut(nodes.join(groups, "node", "left").select("words", F.coalesce("component", "node").alias("component_id")), "classes")
     return found.select("doc_id", "words").join(classes, "words").select("doc_id", "component_id")
 

@@ -94,3 +94,39 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
             want[g * 10 + k] = g * 10
     got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def plain_similarity(x, y):
+    a, b = ({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} for words in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_texts_with_blocks_appended_cut_off_or_replaced_are_grouped(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(60):
+        share = (0.8, 0.82, 0.85, 0.9, 0.95)[g % 5]
+        text = [f"w{g}_{i}" for i in rng.integers(0, 900, 400)]
+        fresh = [f"x{g}_{i}" for i in rng.integers(0, 900, 400)]
+        alone = round(400 * (1 - share) / (1 + share)) - 4  # of either side, where a block is replaced
+        other = (text + fresh[: int(396 / share) - 396], text[: 5 + int(396 * share)], text[:100] + fresh[:alone] + text[100 + alone :])[g // 5 % 3]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
+    similar = [plain_similarity(rows[i][1], rows[i + 1][1]) for i in range(0, 120, 2)]
+    assert sum(s >= 0.8 for s in similar) >= 55 and min(similar) > 0.78
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if similar[i // 2] >= 0.8 else i for i in range(120)}
+
+
+def test_texts_below_the_similarity_are_not_grouped(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(60):
+        text = [f"w{g}_{i}" for i in rng.integers(0, 900, 400)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(text[: 5 + int(396 * (0.72 + 0.075 * g / 60))]))]
+    line = " ".join(f"common{i}" for i in range(12))
+    for g in range(2):  # otherwise different texts with one line 40 times
+        rows.append((200 + g, "\n".join([line] * 40 + [f"y{g}_{i}" for i in range(60)])))
+    similar = [plain_similarity(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert max(similar) < 0.8 and min(similar[:60]) > 0.7
+    got = S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 122
