@@ -19,6 +19,17 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
+def _jumped(labels: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Labels after each root of `hooks` (image_id, root, least) went to the least one that hooks reach from it."""
+    for _ in range(ROUNDS):
+        step = hooks.select("image_id", F.col("root").alias("least"), F.col("least").alias("further"))
+        moved = _settled(hooks.join(step, ["image_id", "least"], "left").select("image_id", "root", F.coalesce("further", "least").alias("least"), F.col("further").isNotNull().alias("moved")))
+        hooks = moved.select("image_id", "root", "least")
+        if moved.where("moved").isEmpty():
+            return _settled(labels.join(hooks, ["image_id", "root"], "left").select("image_id", "node", F.coalesce("least", "root").alias("root")))
+    raise RuntimeError(f"roots did not settle in {ROUNDS} rounds")
+
+
 def label_components(px: DataFrame, value: str = "label", corners: bool = False) -> DataFrame:
     """(image_id, x, y, value, component): 4-connected pieces of equal pixels, or 8-connected with corners. A component's number
     is y * 2^20 + x of its first run in raster order."""
@@ -32,13 +43,15 @@ def label_components(px: DataFrame, value: str = "label", corners: bool = False)
     both = _settled(links.union(links.select("image_id", "up", "node")))
     labels = _settled(runs.select("image_id", "node", F.col("node").alias("root")))
     for _ in range(ROUNDS):
-        near = both.join(labels.select("image_id", F.col("node").alias("up"), "root"), ["image_id", "up"]).groupBy("image_id", "node").agg(F.min("root").alias("near"))
-        hooked = labels.join(near, ["image_id", "node"], "left").select("image_id", "node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jump = hooked.select("image_id", F.col("node").alias("root"), F.col("root").alias("further"))
-        moved = _settled(hooked.join(jump, ["image_id", "root"], "left").select("image_id", "node", F.least("root", "further").alias("root"), "was"))
-        labels = moved.select("image_id", "node", "root")
-        if moved.where("root <> was").isEmpty():
+        # each root takes the least root that its members see, then all runs jump to the root of their root
+        near = both.join(labels.select("image_id", F.col("node").alias("up"), F.col("root").alias("seen")), ["image_id", "up"]).groupBy("image_id", "node").agg(F.min("seen").alias("seen"))
+        hooks = labels.join(near, ["image_id", "node"]).groupBy("image_id", "root").agg(F.min("seen").alias("least")).where("least < root")
+        hooks = _settled(hooks)
+        if hooks.isEmpty():
             break
+        labels = _jumped(labels, hooks)
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     out = runs.join(labels, ["image_id", "node"]).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
     return out.select("image_id", "x", "y", "value", F.col("root").alias("component"))
 

@@ -69,3 +69,9 @@ def test_a_palette_is_bounded(spark):
     big = spark.range(0, 65).selectExpr("cast(id as int) as color", "0 as b", "0 as g", "0 as r")
     with pytest.raises(ValueError, match="64"):
         colors.with_colors(big)
+
+
+def test_a_tall_u_is_one_component(spark):
+    px = spark.createDataFrame([(0, x, y, int(x != 1 or y == 299)) for y in range(300) for x in range(3)], "image_id int, x int, y int, label int")
+    got = {(r["value"], r["component"]): r["area"] for r in components.component_sizes(px).collect()}
+    assert got == {(1, 0): 601, (0, 1): 299}
