@@ -243,8 +243,8 @@ KEYS, PER_KEY = 25, 5
 MINIMA = 128
 #: Deviations by which an estimate from sketches may fall short: loses 1e-5 at the similarity asked for.
 SLACK = 4.3
-#: Keys by which texts are chained before the pairs that are left are listed.
-CHAINED = 4
+#: Keys under which texts are held against the first before the pairs that are left are listed.
+STARS = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -299,16 +299,18 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> dict:
     return {"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}
 
 
-def _chained(entries: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that follow one another under the same key. A large key is spread over tasks; pairs across tasks are left out."""
+def _stars(entries: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts with the first under the same key. A large key is spread over tasks; pairs across tasks are left out."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 tab, key, node, n, sketch = _columns(batch)
-                at = np.flatnonzero((tab[1:] == tab[:-1]) & (key[1:] == key[:-1]) & (node[1:] != node[:-1]))
-                at = at[_near(n, sketch, at, at + 1, similarity)]
-                yield pa.RecordBatch.from_pydict(_pairs(node[at], node[at + 1]))
+                fresh = np.concatenate([[True], (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
+                first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+                at = np.flatnonzero(node != node[first])
+                at = at[_near(n, sketch, first[at], at, similarity)]
+                yield pa.RecordBatch.from_pydict(_pairs(node[first[at]], node[at]))
 
     order = ["tab", "key", "node"]
     return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
@@ -362,7 +364,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
 
     A text has KEYS keys, each of PER_KEY least shingles under as many hashes, so that two texts share a given key with
     probability similarity ** PER_KEY wherever their words differ. Pairs with a key in common whose sketches may be that
-    similar are verified by their shingles. Pairs in a row under the first keys come first; then all pairs that are
+    similar are verified by their shingles. Pairs with the first text under some keys come first; then all pairs that are
     still in different groups, so a group is not compared throughout. Texts with the same words are one node. Null and
     empty texts are alike.
     """
@@ -378,8 +380,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     found = cut(texts.mapInArrow(run, "doc_id long, keys array<long>, n int, sketch binary, words binary"), "signatures")
     nodes = cut(found.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(F.struct("n", "sketch", "keys")).alias("x")).select("words", "node", "x.n", "x.sketch", "x.keys"), "texts")
-    first = nodes.select("node", "n", "sketch", F.posexplode(F.slice("keys", 1, CHAINED)).alias("tab", "key"))
-    tried = cut(_chained(first, similarity), "chained-pairs")
+    first = nodes.select("node", "n", "sketch", F.posexplode(F.slice("keys", 1, STARS)).alias("tab", "key"))
+    tried = cut(_stars(first, similarity), "star-pairs")
     links = verified(tried, docs, size, similarity)
     groups = cut(components(links), "groups-so-far")
     cells = max(1, math.ceil(nodes.count() / BLOCK))
