@@ -37,7 +37,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that repeat a passage from before."""
-    return spans.substring_dedup(table(spark, sf_dir, "documents"))
+    return spans.substring_dedup(table(spark, sf_dir, "documents"), ends_too=True)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

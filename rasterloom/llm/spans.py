@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, field
 
-#: A run starts at any sentence and is the shortest with so many sentences and so many words.
+#: A run starts or ends at any sentence and is the shortest with so many sentences and so many words.
 SENTENCES, WORDS = 2, 20
 #: Sentences end after . ! ? and a blank, and at line feeds; the blanks belong to the sentence before.
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -32,25 +32,28 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def runs(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (64 bits) and number of sentences of the run that starts at each sentence, as far as runs fit in."""
+def runs(parts: list[str], least: int = SENTENCES, words: int = WORDS, ends_too: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (64 bits), first sentence and number of sentences of the shortest run that starts at each sentence, and with
+    `ends_too` of the shortest that ends there, as far as runs fit in; by first sentence, each run once."""
     clean = [p.split() for p in parts]
     sizes = np.cumsum([0, *map(len, clean)])
-    starts = np.arange(len(parts))
-    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + words), starts + least)
-    fits = ends <= len(parts)
+    at = np.arange(len(parts))
+    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + words), at + least)
+    starts = np.minimum(np.searchsorted(sizes, sizes[1:] - words, side="right") - 1, at + 1 - least)
+    fits, back = ends <= len(parts), (starts >= 0) & ends_too
+    found = np.unique(np.concatenate([np.stack([at[fits], ends[fits]], 1), np.stack([starts[back], at[back] + 1], 1)]), axis=0)
     joined = [" ".join(c).encode("utf-8", "surrogatepass") for c in clean]
-    hashes = [xxhash.xxh3_64_intdigest(b"\n".join(joined[s:e])) for s, e in zip(starts[fits].tolist(), ends[fits].tolist(), strict=True)]
-    return np.array(hashes, np.uint64).view(np.int64), (ends - starts)[fits].astype(np.int32)
+    hashes = [xxhash.xxh3_64_intdigest(b"\n".join(joined[s:e])) for s, e in found.tolist()]
+    return np.array(hashes, np.uint64).view(np.int64), found[:, 0], (found[:, 1] - found[:, 0]).astype(np.int32)
 
 
-def _spans(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """(doc_id, pos, span) of every run of every document."""
+def _spans(docs: DataFrame, least: int, words: int, ends_too: bool) -> DataFrame:
+    """(doc_id, pos, span) of every run of every document; pos counts the document's runs."""
 
     def run(batches):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, _ = runs(sentences(text), least, words)
+                found, _, _ = runs(sentences(text), least, words, ends_too)
                 for at in range(0, len(found), 10_000):
                     part = found[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays(
@@ -60,20 +63,20 @@ def _spans(docs: DataFrame, least: int, words: int) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, pos int, span long")
 
 
-def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, ends_too: bool = False) -> DataFrame:
     """(doc_id, spans array<struct<pos, span>>): the runs of each document that are not the first of their kind.
 
     The first is the one with the smallest (doc_id, position). Counts combine before their shuffle, and a run that a
     third of the documents share is spread by adaptive execution when occurrences join the repeated hashes; a list is
     no longer than its own document.
     """
-    every = _spans(docs, least, words)
+    every = _spans(docs, least, words, ends_too)
     firsts = cut(every.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("span", "first"), "repeated-spans")
     later = every.join(firsts, "span").where("doc_id <> first.doc_id or pos <> first.pos").select("doc_id", "pos", "span")
     return cut(later, "later-spans").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "span"))).alias("spans"))
 
 
-def drop_repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def drop_repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, ends_too: bool = False) -> DataFrame:
     """All columns of `docs` with repeated sentences taken out of `text`, and n_sentences and n_removed beside them.
 
     A null text stays null with 0 sentences, an empty one empty; a document that only repeats others keeps an empty text.
@@ -83,7 +86,7 @@ def drop_repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -
     """
     key, listed = field("span_doc", docs), field("span_list", docs)
     kept = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    found = repeated(docs, least, words).select(F.col("doc_id").alias(key), F.col("spans").alias(listed))
+    found = repeated(docs, least, words, ends_too).select(F.col("doc_id").alias(key), F.col("spans").alias(listed))
     joined = docs.select(*kept).join(cut(found, "span-lists"), F.col("doc_id").cast("long") == F.col(key), "left").select(*kept, listed)
     schema = docs.select(*kept).schema.add("n_sentences", "long").add("n_removed", "long")
     text_at = kept.index("text")
@@ -95,11 +98,11 @@ def drop_repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -
                 parts = sentences(text)
                 gone = np.zeros(len(parts) + 1, np.int64)
                 if spans:
-                    hashes, sizes = runs(parts, least, words)
+                    hashes, starts, sizes = runs(parts, least, words, ends_too)
                     for x in spans:
                         if x["pos"] < len(hashes) and hashes[x["pos"]] == x["span"]:
-                            gone[x["pos"]] += 1
-                            gone[x["pos"] + sizes[x["pos"]]] -= 1
+                            gone[starts[x["pos"]]] += 1
+                            gone[starts[x["pos"]] + sizes[x["pos"]]] -= 1
                     gone = np.cumsum(gone)
                 removed = int((gone[:-1] > 0).sum())
                 texts.append(text if not removed else "".join(p for p, g in zip(parts, gone.tolist(), strict=False) if not g))
@@ -112,6 +115,6 @@ def drop_repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -
     return joined.mapInArrow(clean, schema)
 
 
-def substring_dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, ends_too: bool = False) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed) of every document after repeated sentences are taken out."""
-    return drop_repeated(docs.select("doc_id", "text"), least, words)
+    return drop_repeated(docs.select("doc_id", "text"), least, words, ends_too)

@@ -170,3 +170,11 @@ def test_odd_texts_in_toxicity(spark, odd_docs):
     assert toxicity.without_toxic(odd_docs, model).columns == odd_docs.columns
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn(odd_docs, none) is None and toxicity.held_out_toxicity(odd_docs.limit(0), none).count() == 0
+
+
+def test_short_sentences_at_the_end_of_a_passage_go_too(spark):
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
+    passage = " ".join([say("a", 15), say("b", 15), say("c", 4)])
+    docs = [(d, f"{say(f'x{d}', 9)} {passage} {say(f'y{d}', 30)}") for d in (1, 2)]
+    got = {r["doc_id"]: r["text"] for r in spans.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), ends_too=True).collect()}
+    assert got == {1: docs[0][1], 2: f"{say('x2', 9)} {say('y2', 30)}"}
