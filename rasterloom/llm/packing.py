@@ -9,6 +9,7 @@ resulting patterns are assigned to the items by their rank within their class, w
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -26,13 +27,21 @@ from .common import cut
 LENGTH, UNIT, END = 4096, 8, 2
 #: The linear program stops within this share of its lower bound, or after so many new patterns.
 GAP, ROUNDS = 2e-4, 4000
-#: Words whose ids a task remembers.
-KEPT = 700_000
+#: New words after which a task forgets those that it has not met since as many before.
+KEPT = 500_000
 #: Texts with other characters than these are given to the tokenizer whole: ASCII but for four that Python takes for blanks,
 #: Latin letters but for the dotted capital I, and common signs; and texts with what could begin a special token.
 _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]|<\\|")
-#: The tokenizer's own cut of a normalized word into parts, each of which it merges alone and ends with a word end.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# How a tokenizer file says that it lower-cases texts and cuts them into parts which it merges alone. For one
+# that says anything else, texts are encoded whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_CUTTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}, _BYTES]}
+_BLANKS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, _BYTES]}
+_PARTS = regex.compile(_CUT)
+#: Signs at the end of a word that are one part of it.
+_EDGES = ".,;:!?*%$#()[]{}+-=/&"
 
 
 class WordIds(dict):
@@ -41,46 +50,76 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-        ends = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
+        self.tokenizer, self.before = Tokenizer.from_file(path), {}
+        says = json.loads(self.tokenizer.to_str())
+        self.by_word = says["normalizer"] == _NORMALIZER and says["pre_tokenizer"] == _CUTTER and says["post_processor"] is None and says["model"].get("end_of_word_suffix") == "</w>"
+        if self.by_word:
+            self.plain = Tokenizer.from_str(json.dumps(says | {"normalizer": None, "pre_tokenizer": _BLANKS}))
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: their new parts are encoded in one call, and its ids cut at the word ends."""
-        cuts = {w: _PARTS.findall(w) for w in words}
-        fresh = list({p for c in cuts.values() for p in c if p not in self.parts})
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+    def _encode(self, parts: list[str]) -> None:
+        """Ids of new parts: many are encoded in one call, and its ids cut at the word ends."""
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
-                raw, before = ids.tobytes(), 0
+                raw, begin = ids.tobytes(), 0
                 for part, stop in zip(some, (4 * stops).tolist(), strict=True):
-                    self.parts[part] = raw[before:stop]
-                    before = stop
-            else:  # a vocabulary without word ends
-                self.parts |= {part: self._whole(part) for part in some}
-        known = self.parts
-        for w, parts in cuts.items():
-            self[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+                    self[part] = raw[begin:stop]
+                    begin = stop
+            else:  # some part has signs that the vocabulary lacks
+                self.update((part, self._whole(part)) for part in some)
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Token ids of whole texts."""
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words: of their parts, one after another."""
         if len(self) > KEPT:
+            self.before = dict(self)
             self.clear()
-            self.parts.clear()
-        split = [None if _ODD.search(t or "") else (t or "").lower().split() for t in texts]
+        old, cuts, fresh = self.before, [], []
+        for w in words:
+            if w in old:
+                self[w] = old[w]
+            elif w.isalpha():
+                fresh.append(w)
+            else:
+                core = w.rstrip(_EDGES)
+                cuts.append((w, (core, w[len(core) :]) if core.isalpha() else _PARTS.findall(w)))
+        known = {p for _, parts in cuts for p in parts if p not in self} - set(fresh)
+        for p in known:
+            if p in old:
+                self[p] = old[p]
+            else:
+                fresh.append(p)
+        self._encode(fresh)
+        for w, parts in cuts:
+            self[w] = b"".join([self[p] for p in parts])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Token ids of whole texts."""
+        split = [(t or "").lower().split() if self.by_word and not _ODD.search(t or "") else None for t in texts]
         fresh = {w for words in split if words for w in words if w not in self}
         if fresh:
-            self._learn(list(fresh))
+            kept = {w for words in split if words for w in words} if len(self) > KEPT else fresh
+            self._learn(kept)
         return [self._whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
+#: What a worker process has learned, for the tasks it runs one after another.
+_LEARNED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _LEARNED:
+        _LEARNED.clear()
+        _LEARNED[path] = WordIds(path)
+    return _LEARNED[path]
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -98,7 +137,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, unit:
     kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches):
-        words, part, placed = WordIds(path), TaskContext.get().partitionId(), Counter()
+        words, part, placed = word_ids(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows, texts = [], batch.column(1).to_pylist()
             encoded = chain.from_iterable(words.encode_all(texts[at : at + 64]) for at in range(0, len(texts), 64))
@@ -235,7 +274,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, unit: i
     shared = docs.sparkSession.sparkContext.broadcast(plan(histogram, length // unit))
     order = Window.partitionBy("class").orderBy("part")
     before = cut(counts.select(F.col("part").alias("p"), F.col("class").alias("c"), (F.sum("count").over(order) - F.col("count")).alias("before")), "class-ranks")
-    ranked = found.join(before, (F.col("part") == F.col("p")) & (F.col("class") == F.col("c"))).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = found.join(before.hint("merge"), (F.col("part") == F.col("p")) & (F.col("class") == F.col("c"))).withColumn("rank", F.col("before") + F.col("place"))
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     ranked = ranked.select(*kept, "class", "rank")
 
