@@ -1,6 +1,6 @@
 """WARC archives: written with deduplicated payloads, and read in splits by boundary-chain verification.
 
-Archives are plain WARC/1.0 files. Reading deals them out in splits of any size (spark.sql.files.maxPartitionBytes), cut
+Archives are written as plain WARC/1.0 files; those of version 1.1 are read too. Reading deals them out in splits of any size (spark.sql.files.maxPartitionBytes), cut
 at the record magic. A task can't tell a record from the same magic inside a payload, so every place with the magic is a
 candidate: its header gives a length and with it the offset of its successor. Tasks emit these candidate-to-successor
 offsets, and where the chain from each candidate leaves the task's split. Pointer jumping over those exits, from offset
@@ -13,14 +13,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch
 
-MAGIC, GAP = b"WARC/1.0\r\n", b"\r\n\r\n"
+#: What every record starts with, before its minor version and a line end; and what parts header, payload and next record.
+MAGIC, GAP, VERSIONS = b"WARC/1.", b"\r\n\r\n", (b"0", b"1")
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 #: Records in one archive at most.
@@ -52,7 +52,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
-        F.lit(MAGIC.decode()),
+        F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         some(F.col("page_id").isNotNull(), line("WARC-Record-ID", urn("page_id"))),
         some(F.col("url").isNotNull(), line("WARC-Target-URI", url)),
@@ -71,10 +71,21 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
 # ---- reading --------------------------------------------------------------------------------------------------------
 
 
-def _segments(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """A seed with which the hashes of all paths of archives differ, and (file, name): those hashes and the paths."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("name"))
+    names = cut(names, "archive-names")
+    for seed in range(100):
+        named = names.select(F.xxhash64(F.lit(seed), "name").alias("file"), "name")
+        if named.groupBy("file").count().where("count > 1").isEmpty():
+            return seed, named
+    raise RuntimeError("no seed tells the archives apart")
+
+
+def _segments(spark: SparkSession, path: str, seed: int) -> DataFrame:
     """(file, block, value binary): archives cut at the magic, in the order of each split."""
     return spark.read.option("lineSep", MAGIC.decode()).option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")
+        F.xxhash64(F.lit(seed), F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")
     )
 
 
@@ -84,7 +95,10 @@ def parse_header(value: bytes) -> tuple[dict, int, int] | None:
     if end < 0:
         return None
     fields, length = {}, None
-    for line in value[:end].split(b"\r\n"):
+    version, *lines = value[:end].split(b"\r\n")
+    if version not in VERSIONS:
+        return None
+    for line in lines:
         name, colon, rest = line.partition(b":")
         if not colon:
             return None
@@ -98,7 +112,7 @@ def parse_header(value: bytes) -> tuple[dict, int, int] | None:
     return None if length is None else (fields, end + len(GAP), length)
 
 
-_SCHEMA = "file string, block long, rel long, after long, exit long, total long, body long, " + ", ".join(f"{c} string" for c in _TEXTS) + ", payload_bytes long, payload_digest string, payload binary"
+_SCHEMA = "file long, block long, rel long, after long, exit long, total long, body long, " + ", ".join(f"{c} string" for c in _TEXTS) + ", payload_bytes long, payload_digest string, payload binary"
 
 
 def _scan(keep_payload: bool):
@@ -152,16 +166,21 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def reachable(candidates: DataFrame) -> DataFrame:
     """The candidates (file, block, rel, after, exit, total, ..) that the chain from the start of their file reaches, with
-    `start`, their offset in the file."""
+    `start`, their offset in the file.
+
+    Only places that some chain leaves a split for, and the starts of files, can be entries, so jumps are kept for those
+    alone: some for each split, however many records it holds.
+    """
     splits = candidates.where("total is not null").select("file", "block", "total")
     order = Window.partitionBy("file").orderBy("block")
     # the text before the first magic belongs to the first split; a split's first magic ends just before its first segment
-    bases = splits.select("file", "block", (F.sum("total").over(order) - F.col("total")).alias("base"))
+    bases = cut(splits.select("file", "block", (F.sum("total").over(order) - F.col("total")).alias("base")), "split-bases")
     found = candidates.where("total is null").drop("total").join(bases, ["file", "block"])
     found = found.withColumn("start", F.col("base") + F.col("rel"))
-    jump = cut(found.select("file", "start", (F.col("base") + F.col("exit")).alias("to")), "jumps")
-    ends = candidates.where("total is not null").select("file").distinct()
-    entered = cut(ends.select("file", F.lit(0).cast("long").alias("start")), "entries")
+    every = found.select("file", "start", (F.col("base") + F.col("exit")).alias("to"))
+    places = every.select("file", F.col("to").alias("start")).union(bases.select("file", F.lit(0).cast("long"))).distinct()
+    jump = cut(every.join(cut(places, "places"), ["file", "start"]).select("file", "start", "to"), "jumps")
+    entered = cut(bases.select("file", F.lit(0).cast("long").alias("start")).distinct(), "entries")
     have = entered.count()
     while True:  # entries double their reach with each round, as jumps are composed with themselves
         more = entered.join(jump, ["file", "start"]).select("file", F.col("to").alias("start"))
@@ -172,28 +191,29 @@ def reachable(candidates: DataFrame) -> DataFrame:
         have = now
         onward = jump.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("to").alias("further"))
         jump = cut(jump.join(onward, (F.col("file") == F.col("f")) & (F.col("to") == F.col("s")), "left").select("file", "start", F.coalesce("further", "to").alias("to")), "jumps")
-    marked = found.select("file", "block", "start", (F.col("base") + F.col("after")).alias("next")).join(entered.withColumn("entry", F.lit(True)), ["file", "start"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    marked = found.select("file", "block", "start", (F.col("base") + F.col("after")).alias("next")).join(entered.withColumn("entry", F.lit(True)), ["file", "start"], "left")
 
-    def follow(split: pd.DataFrame) -> pd.DataFrame:
-        split = split.sort_values("start")
+    def follow(split: pa.Table) -> pa.Table:
+        split = split.sort_by("start")
         starts, nexts = split["start"].to_numpy(), split["next"].to_numpy()
-        on = split["entry"].to_numpy(dtype=bool).copy()
-        for i in np.flatnonzero(on):
-            while True:
-                j = np.searchsorted(starts, nexts[i])
-                if j >= len(starts) or starts[j] != nexts[i] or on[j]:
-                    break
-                on[j], i = True, j
-        return split.loc[on, ["file", "block", "start"]]
+        on = split["entry"].fill_null(False).to_numpy().copy()
+        then = np.searchsorted(starts, nexts)
+        linked = np.flatnonzero((then < len(starts)) & (starts[np.minimum(then, len(starts) - 1)] == nexts))
+        for i, j in zip(linked.tolist(), then[linked].tolist(), strict=True):  # in order of offsets, and a successor comes later
+            if on[i]:
+                on[j] = True
+        return split.filter(pa.array(on)).select(["file", "block", "start"])
 
-    chain = marked.groupBy("file", "block").applyInPandas(follow, "file string, block long, start long")
-    return found.join(chain, ["file", "block", "start"])
+    chain = marked.select("file", "block", "start", "next", "entry").groupBy("file", "block").applyInArrow(follow, "file long, block long, start long")
+    return found.join(chain.hint("merge"), ["file", "block", "start"])
 
 
-def _stitched(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
-    """(file, start, payload) of records whose payload holds the magic, put together from the segments of their files.
+def _stitched(spark: SparkSession, path: str, seed: int, broken: DataFrame) -> DataFrame:
+    """(file, start, whole, whole_digest) of records whose payload holds the magic, put together from the segments of their
+    files.
 
-    broken: (file, start, body, payload_bytes). A group is one record, a window one of the files with such records.
+    broken: (file, start, body, payload_bytes). A task holds the segments of one such record; the window that finds whose
+    a segment is sees offsets, not bytes.
     """
 
     def place(batches):
@@ -203,45 +223,51 @@ def _stitched(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
             for file, block, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if (file, block) != key:
                     key, rel, first = (file, block), 0, block == 0
-                rows.append((file, block, rel if first else rel - len(MAGIC), len(value) + len(MAGIC), value if first else MAGIC + value))
+                rows.append((file, block, -1 if first else rel - len(MAGIC), len(value) + len(MAGIC), value if first else MAGIC + value))  # -1: before every record
                 rel, first = rel + len(value) + len(MAGIC), False
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "block", "rel", "size", "bytes"])
 
-    files = broken.select("file").distinct()
-    pieces = _segments(spark, path).mapInArrow(place, "file string, block long, rel long, size long, bytes binary")
-    pieces = cut(pieces.join(files, "file", "left_semi"), "pieces")
+    files = cut(broken.select("file").distinct(), "stitched-files")
+    pieces = cut(_segments(spark, path, seed).mapInArrow(place, "file long, block long, rel long, size long, bytes binary").join(files, "file", "left_semi"), "pieces")
     order = Window.partitionBy("file").orderBy("block")
     bases = pieces.groupBy("file", "block").agg(F.sum("size").alias("total")).select("file", "block", (F.sum("total").over(order) - F.col("total")).alias("base"))
-    placed = pieces.join(bases, ["file", "block"]).select("file", (F.col("base") + F.col("rel")).alias("at"), "bytes")
+    placed = pieces.join(bases, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel"))
     owner = broken.select("file", F.col("start").alias("at"), F.struct("start", "body", "payload_bytes").alias("record"))
     so_far = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = placed.join(owner, ["file", "at"], "left").withColumn("record", F.last("record", ignorenulls=True).over(so_far))
-    owned = owned.where(F.col("at") < F.col("record.body") + F.col("record.payload_bytes"))
-    whole = owned.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda got, x: F.concat(got, x["bytes"]))
-    payload = F.substring(joined, (F.col("record.body") - F.col("record.start") + 1).cast("int"), F.col("record.payload_bytes").cast("int"))
-    return whole.select("file", F.col("record.start").alias("start"), payload.alias("whole"))
+    offsets = placed.select("file", "block", "rel", "at").join(owner, ["file", "at"], "left").withColumn("record", F.last("record", ignorenulls=True).over(so_far))
+    offsets = cut(offsets.where(F.col("at") < F.col("record.body") + F.col("record.payload_bytes")).select("file", "block", "rel", "at", "record"), "stitched-offsets")
+    owned = pieces.join(offsets, ["file", "block", "rel"]).select("file", "record.start", "record.body", "record.payload_bytes", "at", "bytes")
+
+    def whole(record: pa.Table) -> pa.Table:
+        record = record.sort_by("at")
+        start, body, size = (record[c][0].as_py() for c in ("start", "body", "payload_bytes"))
+        payload = b"".join(record["bytes"].to_pylist())[body - start : body - start + size]
+        return pa.table({"file": record["file"][:1], "start": record["start"][:1], "whole": pa.array([payload], pa.binary()), "whole_digest": [hashlib.sha1(payload).hexdigest()]})
+
+    return owned.groupBy("file", "start").applyInArrow(whole, "file long, start long, whole binary, whole_digest string")
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, named: bool = True) -> DataFrame:
     """(file, start, record_type, record_id, uri, refers_to, payload_bytes, payload_digest[, payload]) of the records of
     all archives below `path`.
 
     payload_bytes and payload_digest (bare lower-case hexadecimal SHA-1) are those of the payload as read; for revisit
     records, which carry none, those that the header names for the payload they refer to. What a header lacks is null.
-    A chain that breaks off (a damaged header or length) ends that file's records. Files without a record give no row.
+    `file` is the path of the archive, or null without `named`. Payloads with the magic inside are put together, one record
+    to a task. A chain that breaks off (a damaged header or length) ends that file's records. Files without a record give no row.
     """
-    candidates = cut(_segments(spark, path).mapInArrow(_scan(payload), _SCHEMA), "candidates")
+    seed, names = _files(spark, path)
+    candidates = cut(_segments(spark, path, seed).mapInArrow(_scan(payload), _SCHEMA), "candidates")
     records = cut(reachable(candidates), "records")
     broken = records.where("payload_digest is null").select("file", "start", (F.col("base") + F.col("body")).alias("body"), "payload_bytes")
     if not broken.isEmpty():
-        late = cut(_stitched(spark, path, broken), "stitched")
-        records = records.join(late, ["file", "start"], "left").withColumn("payload_digest", F.coalesce("payload_digest", F.sha1("whole"))).withColumn("payload", F.coalesce("payload", "whole"))
+        late = cut(_stitched(spark, path, seed, broken), "stitched")
+        records = records.join(late, ["file", "start"], "left").withColumn("payload_digest", F.coalesce("payload_digest", "whole_digest")).withColumn("payload", F.coalesce("payload", "whole"))
     revisit = F.col("record_type") == "revisit"
-    shown = records.select(
-        "file", "start", "record_type", "record_id", "uri", "refers_to",
+    shown = (records.join(names, "file") if named else records.withColumn("name", F.lit(None).cast("string"))).select(
+        F.col("name").alias("file"), "start", "record_type", "record_id", "uri", "refers_to",
         F.when(revisit, F.col("length_header").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.regexp_replace("digest_header", "^sha1:", "")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         F.when(revisit, None).otherwise(F.col("payload")).alias("payload"),
@@ -255,6 +281,6 @@ def round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFram
     path = scratch(spark, "archives")
     write_warc(pages, path, revisit_bytes)
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
-    got = read_warc(spark, path, payload=False)
+    got = read_warc(spark, path, payload=False, named=False)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return got.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
