@@ -1,20 +1,22 @@
 """Benchmark decontamination by SimHash windows of an item's size, verified by exact weighted-shingle similarity.
 
-Each window of a document as long (in words) as a benchmark item gets a SimHash of its 5-word shingles. A multi-index
-finds the items whose fingerprints are within RADIUS bits: fingerprints are cut into BLOCKS blocks, and two that differ
-in at most RADIUS bits have some block that differs in at most RADIUS // BLOCKS bits, so a table of items by block value
-and its near values loses none. Candidates are verified by the weighted Jaccard similarity of their shingles (weight: how
-often a shingle occurs), which must reach 0.8. Windows without any shingle of an item of their size have similarity
-zero with it and are not fingerprinted.
-
-At similarity 0.8 two fingerprints differ in 9.7 bits on average with a deviation of 2.9, so the radius of 23 bits
-loses fewer than one pair in 100,000 at the threshold and fewer above.
+Each window of a document as long (in words) as a benchmark item gets TABLES SimHashes of its 5-word shingles, of 64 bits
+each. A multi-index finds the items with a fingerprint within RADIUS bits: fingerprints are cut into BLOCKS blocks, and two
+that differ in at most RADIUS bits have some block that differs in at most RADIUS // BLOCKS bits, so a table of items by
+block value and its near values loses none. Candidates are verified by the weighted Jaccard similarity of their shingles
+(weight: how often a shingle occurs), which must reach 0.8. Windows without any shingle of an item of their size have
+similarity zero with it and are not fingerprinted.
+
+At similarity 0.8 two fingerprints differ in 9.7 bits on average with a deviation of 2.9, so 97.3 % of pairs at the
+threshold are within 15 bits in one table, 99.93 % in one of two, and more above. Of unrelated fingerprints one in 80,000
+is that close, and the blocks of a table pass a quarter.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import cached_property
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
+SIZE, SIMILARITY, RADIUS, BLOCKS, TABLES = 5, 0.8, 15, 8, 2
 #: Items whose index is sent to the executors at once; a larger benchmark is searched block by block.
 ITEMS_AT_ONCE = 20_000
 _WORD = re.compile(r"\w+")
@@ -52,8 +54,8 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 def signs(shingles: list[str]) -> np.ndarray:
-    """A row of 64 signs for each shingle: +1 where its hash has a 1."""
-    raw = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), np.uint8).reshape(-1, 8)
+    """A row of 64 signs in each table for every shingle: +1 where its hash has a 1."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), np.uint8).reshape(-1, 8 * TABLES)
     return np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1
 
 
@@ -61,7 +63,7 @@ class _Numbers(dict):
     """Number of each blank-separated token of a lower-cased text: that of its one word, 0 for a word that no item has,
     NO_WORD for a token without a word, MANY for one of several words. Keeps what it has seen, up to a bound."""
 
-    NO_WORD, MANY, KEPT = 1 << 40, 1 << 41, 500_000
+    NO_WORD, MANY, KEPT = 1 << 40, 1 << 41, 250_000
 
     def __init__(self, numbers: dict[str, int]):
         self.numbers = numbers
@@ -93,7 +95,7 @@ class ItemIndex:
                 self.counts.append(Counter(found))
                 self.lengths.append(len(words))
                 fps.append(np.packbits(signs(found).sum(axis=0, dtype=np.int32) > 0))
-        fps = np.array(fps, np.uint8).reshape(-1, 8)
+        fps = np.array(fps, np.uint8).reshape(-1, 8 * TABLES)
         self.by_shingle: dict[str, list[int]] = defaultdict(list)
         for i, count in enumerate(self.counts):
             for shingle in count:
@@ -111,20 +113,25 @@ class ItemIndex:
         flips = [sum(1 << i for i in on) for r in range(RADIUS // BLOCKS + 1) for on in combinations(range(8), r)]
         for length in set(self.lengths):
             items_ = np.array([i for i, n in enumerate(self.lengths) if n == length])
-            near = np.zeros((BLOCKS, 256, len(items_)), bool)
+            near = np.zeros((BLOCKS * TABLES, 256, len(items_)), bool)
             for flip in flips:
-                near[np.arange(BLOCKS)[:, None], fps[items_].T ^ flip, np.arange(len(items_))] = True
+                near[np.arange(BLOCKS * TABLES)[:, None], fps[items_].T ^ flip, np.arange(len(items_))] = True
             self.sizes[length] = (items_, fps[items_], near)
 
     def lookup(self, size: int, fps: np.ndarray) -> list[tuple[int, int]]:
-        """(row of fps, item) of all fingerprints (8 bytes each) within RADIUS bits of an item of that size."""
+        """(row of fps, item) of all windows with a fingerprint (8 bytes in each table) within RADIUS bits of an item of that size."""
         items, own, near = self.sizes[size]
-        close = near[0][fps[:, 0]]
-        for block in range(1, BLOCKS):
-            close = close | near[block][fps[:, block]]
-        row, k = np.nonzero(close)
-        keep = np.bitwise_count(fps[row] ^ own[k]).sum(axis=1, dtype=np.int32) <= RADIUS
-        return list(zip(row[keep].tolist(), items[k[keep]].tolist(), strict=True))
+        found = np.zeros((len(fps), len(items)), bool)
+        for table in range(TABLES):
+            at = BLOCKS * table
+            close = near[at][fps[:, at]]
+            for block in range(at + 1, at + BLOCKS):
+                close = close | near[block][fps[:, block]]
+            row, k = np.nonzero(close)
+            keep = np.bitwise_count(fps[row, at : at + BLOCKS] ^ own[k, at : at + BLOCKS]).sum(axis=1, dtype=np.int32) <= RADIUS
+            found[row[keep], k[keep]] = True
+        row, k = np.nonzero(found)
+        return list(zip(row.tolist(), items[k].tolist(), strict=True))
 
     def numbered(self, text: str) -> tuple[list[str], np.ndarray]:
         """Tokens of a text, one word or more in each, and the numbers of the words."""
@@ -165,7 +172,7 @@ class ItemIndex:
             for run in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1):
                 shingles = shingles_of(words[run[0] : run[-1] + size], min(size, self.size))
                 width = max(1, min(size, len(words)) - self.size + 1)
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(shingles), axis=0, dtype=np.int32)])
+                sums = np.concatenate([np.zeros((1, 64 * TABLES), np.int32), np.cumsum(signs(shingles), axis=0, dtype=np.int32)])
                 low = run - run[0]
                 fps = np.packbits(sums[np.minimum(low + width, len(shingles))] - sums[low] > 0, axis=1)
                 for row, i in self.lookup(size, fps):
@@ -184,6 +191,20 @@ def _codes(numbers: np.ndarray, n: int) -> np.ndarray:
     return code * np.uint64(0xD6E8FEB86659FD93)
 
 
+class Items:
+    """A block of benchmark items, and their index once a process asks for it."""
+
+    def __init__(self, rows: list[tuple[int, str | None]]):
+        self.rows = rows
+
+    @cached_property
+    def index(self) -> ItemIndex:
+        return ItemIndex(self.rows)
+
+    def __getstate__(self):
+        return {"rows": self.rows}
+
+
 def _blocks(benchmark: DataFrame, at_once: int):
     """Benchmark items in blocks, in the order of their ids, without holding more than a block on the driver."""
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").toLocalIterator()
@@ -204,10 +225,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for block in _blocks(benchmark, at_once):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Items(block))
 
         def search(batches, shared=shared):
-            index = ItemIndex(shared.value)
+            index = shared.value.index
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -225,10 +246,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = I
     """The rows of `docs`, all columns, whose text has no window like a benchmark item (see `contaminated`)."""
     at, schema = docs.columns.index("text"), docs.schema
     for block in _blocks(benchmark, at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block))
 
         def clean(batches, shared=shared):
-            index = ItemIndex(shared.value)
+            index = shared.value.index
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
