@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the sample to learn from: documents of each label, by the order of a hash of their ids, and words of them that
-#: the chain is trained on.
-SAMPLE_DOCS, SAMPLE_WORDS = 2_500, 250_000
+#: the chain is trained on; and characters of one document.
+SAMPLE_DOCS, SAMPLE_WORDS, DOC_CHARS = 2_500, 250_000, 10_000
 #: A word or prefix counts as toxic from this log ratio of its shares on, if the log likelihood ratio of its counts is so
 #: large that no accident among some 100,000 words explains it.
 LOG_RATIO, EVIDENCE = 2.0, 11.0
 #: Words in a chain; a longer line is several chains.
 CHAIN = 64
 THRESHOLD = 0.7
-KEPT = 300_000
+KEPT = 150_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -43,33 +44,30 @@ def _keys(word: str) -> list[str]:
 # ---- the chain ------------------------------------------------------------------------------------------------------
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1, and expected moves (2 x 2), of chains: scores (chains x words) of state 1 over state 0.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: float, counts: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of state 1, and expected moves (2 x 2) if asked for, of chains: scores (chains x words) of state 1 over state 0.
 
-    moves: logarithmic weights of going from one state to another; start: that of beginning in state 1.
+    moves: logarithmic weights of going from one state to another; start: that of beginning in state 1. With two states one
+    number a word is enough in either direction: `ahead` the odds of state 1 from the words up to it, `behind` from those after.
     """
-    n, width = scores.shape
-    step, lift = np.exp(moves), np.exp(np.clip(scores, -30, 30))
-    alpha, beta = np.empty((width, n, 2)), np.ones((width, n, 2))
-    now = np.stack([np.ones(n), math.exp(start) * lift[:, 0]], axis=1)
-    alpha[0] = now / now.sum(axis=1, keepdims=True)
-    for t in range(1, width):
-        now = alpha[t - 1] @ step
-        now[:, 1] *= lift[:, t]
-        alpha[t] = now / now.sum(axis=1, keepdims=True)
-    inside = np.arange(width)[:, None] < lengths[None, :]
-    expected = np.zeros((2, 2))
-    for t in range(width - 2, -1, -1):
-        onward = beta[t + 1] * np.stack([np.ones(n), lift[:, t + 1]], axis=1)
-        back = onward @ step.T
-        back /= back.sum(axis=1, keepdims=True)
-        on = inside[t + 1]
-        beta[t] = np.where(on[:, None], back, 1.0)
-        joint = alpha[t][:, :, None] * step[None] * onward[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        expected += joint[on].sum(axis=0)
-    both = alpha * beta
-    return (both[:, :, 1] / both.sum(axis=2) * inside).T, expected
+    (m00, m01), (m10, m11) = np.exp(moves)
+    lift = np.exp(np.clip(scores.T, -30, 30))
+    ahead, behind = np.empty_like(lift), np.ones_like(lift)
+    inside = np.arange(len(lift))[:, None] < lengths[None, :]
+    ahead[0] = math.exp(start) * lift[0]
+    for t in range(1, len(lift)):
+        ahead[t] = lift[t] * (m01 + ahead[t - 1] * m11) / (m00 + ahead[t - 1] * m10)
+    for t in range(len(lift) - 2, -1, -1):
+        onward = lift[t + 1] * behind[t + 1]
+        behind[t] = np.where(inside[t + 1], (m10 + m11 * onward) / (m00 + m01 * onward), 1.0)
+    both = ahead * behind
+    marginals = np.where(inside, both / (1 + both), 0.0).T
+    if not counts:
+        return marginals, None
+    onward, here, on = (lift * behind)[1:], ahead[:-1], inside[1:]
+    joint = [m00 * np.ones_like(here), m01 * onward, m10 * here, m11 * here * onward]
+    total = sum(joint)
+    return marginals, np.array([(x / total)[on].sum() for x in joint]).reshape(2, 2)
 
 
 def _chains(ids: np.ndarray, line_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,41 +93,62 @@ def marginals(scores: np.ndarray, line_sizes: np.ndarray, moves: np.ndarray, sta
             if len(part):
                 at = np.minimum(firsts[part][:, None] + np.arange(width), len(scores) - 1)
                 inside = np.arange(width) < sizes[part][:, None]
-                p, _ = forward_backward(np.where(inside, scores[at], 0.0), sizes[part], moves, start)
+                p, _ = forward_backward(np.where(inside, scores[at], 0.0), sizes[part], moves, start, counts=False)
                 out[at[inside]] = p[inside]
         width *= 2
     return out
 
 
+class _Emissions(dict):
+    """Scores of the words in each blank-separated token, kept up to a bound."""
+
+    def __init__(self, weights: dict[str, float]):
+        kinds = {sign: {f[1:]: w for f, w in weights.items() if f[:1] == sign} for sign in "=<>"}
+        self.whole, self.heads, self.tails, self.always = kinds["="], kinds["<"], kinds[">"], weights.get("", 0.0)
+
+    def _word(self, word: str) -> float:
+        """The sum of the weights of a word's features (see `features`)."""
+        n, heads, tails = len(word), self.heads, self.tails
+        total = self.always + self.whole.get(word, 0.0)
+        for k in range(3, min(9, n)):
+            total += heads.get(word[:k], 0.0)
+        for k in range(3, min(6, n)):
+            total += tails.get(word[-k:], 0.0)
+        return total
+
+    def __missing__(self, token: str) -> tuple[float, ...]:
+        if len(self) >= KEPT:
+            self.clear()
+        found = (token,) if token.isalpha() else _RUN.findall(token)
+        self[token] = value = tuple([self._word(w.lower()) for w in found])
+        return value
+
+
 class Model:
     """A trained chain and its aggregation; picklable."""
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray, start: float, fit: np.ndarray):
         self.weights, self.moves, self.start, self.fit = weights, moves, start, fit
-        self.known: dict[str, float] = {}
+        self.known = _Emissions(weights)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
-    def emission(self, token: str) -> float:
-        """Score of a blank-separated token: of its most toxic word; that of an empty word without one."""
-        words = _RUN.findall(token.lower())
-        value = max((sum(self.weights.get(f, 0.0) for f in features(w)) for w in words), default=0.0) + self.weights.get("", 0.0)
-        self.known[token] = value
-        return value
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.known = _Emissions(self.weights)
 
     def word_marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of all tokens of some texts, and the number of tokens of each text."""
-        if len(self.known) > KEPT:
-            self.known = {}
-        known, scores, lines, sizes = self.known, [], [], []
+        """Marginals of all words (runs of letters, as in training) of some texts, and the number of words of each text."""
+        score, scores, lines, sizes = self.known.__getitem__, [], [], []
         for text in texts:
             n = 0
             for line in text.split("\n"):
-                if tokens := line.split():
-                    lines.append(len(tokens))
-                    n += len(tokens)
-                    scores += [known[t] if t in known else self.emission(t) for t in tokens]
+                found = list(chain.from_iterable(map(score, line.split())))
+                if found:
+                    lines.append(len(found))
+                    n += len(found)
+                    scores += found
             sizes.append(n)
         if not scores:
             return np.zeros(0), np.array(sizes, np.int64)
@@ -153,15 +172,20 @@ class Model:
 # ---- training -------------------------------------------------------------------------------------------------------
 
 
+def _words(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    return [w.lower() for w in _RUN.findall(text)]
+
+
 def _split_words(text: str) -> list[list[str]]:
-    return [words for line in text.lower().split("\n") if (words := _RUN.findall(line))]
+    return [words for line in text.split("\n") if (words := _words(line))]
 
 
 def toxic_words(texts: list[str], labels: list[int]) -> set[str]:
     """Features (words and prefixes) that occur in a far larger share of toxic than of other texts."""
     seen, n = (Counter(), Counter()), [labels.count(0), labels.count(1)]
     for text, label in zip(texts, labels, strict=True):
-        seen[label].update({k for w in set(_RUN.findall(text.lower())) for k in _keys(w)})
+        seen[label].update({k for w in set(_words(text)) for k in _keys(w)})
     out = {}
     for k, c in seen[1].items():
         other, both = seen[0][k], c + seen[0][k]
@@ -239,14 +263,16 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model | None:
-    """A model from at most `sample` documents of each label. docs (doc_id, text), labels (doc_id, toxic 0 or 1); of several
-    labels for a document the largest counts, null labels and texts are left out."""
+    """A model from at most `sample` documents of each label, DOC_CHARS characters of each. docs (doc_id, text), labels
+    (doc_id, toxic 0 or 1); of several labels for a document the largest counts, and of several texts the least; null
+    labels and texts are left out."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda v: known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick(0).union(pick(1)).select(F.col("doc_id").alias("chosen_id"), "toxic")
-    texts = docs.where("text is not null").select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("h")).collect()
-    rows = sorted({(r["h"], r["doc_id"], r["toxic"], r["text"]) for r in rows})
+    texts = docs.where("text is not null").select("doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))
+    some = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    rows = some.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("h")).collect()
+    rows = sorted((r["h"], r["doc_id"], r["toxic"], r["text"]) for r in rows)
     return train([r[3] for r in rows], [r[2] for r in rows])
 
 
@@ -276,7 +302,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     spans, first = [], 0
                     for text, n in zip(texts, sizes.tolist(), strict=True):
                         hot = set(np.flatnonzero(p[first : first + n] > 0.5).tolist())
-                        spans.append([{"start": m.start(), "stop": m.end(), "word": m.group()} for i, m in enumerate(re.finditer(r"\S+", text)) if i in hot] if hot else [])
+                        spans.append([{"start": m.start(), "stop": m.end(), "word": m.group()} for i, m in enumerate(_RUN.finditer(text)) if i in hot] if hot else [])
                         first += n
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array((values >= THRESHOLD).astype(np.int32)), pa.array(spans, span)], ["doc_id", "score", "predicted", "spans"])
 
@@ -305,7 +331,8 @@ def fold_of(column: str = "doc_id", folds: int = 3):
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """(doc_id, held_out, score, predicted, spans): learned from the labels of rows whose crc32(doc_id) mod `folds` is not `held`."""
+    """(doc_id, held_out, score, predicted, spans): learned from the labels of rows whose crc32(doc_id) mod `folds` is not `held`.
+    A row without an id is in no fold: it is scored, but neither learned from nor held out."""
     model = learn(docs, labels.where(fold_of("doc_id", folds) != held))
     out = score(docs, model)
-    return out.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "score", "predicted", "spans")
+    return out.select("doc_id", F.coalesce(fold_of("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
