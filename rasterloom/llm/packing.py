@@ -28,7 +28,7 @@ LENGTH, UNIT, END = 4096, 8, 2
 #: The linear program stops within this share of its lower bound, or after so many new patterns.
 GAP, ROUNDS = 2e-4, 4000
 #: New words after which a task forgets those that it has not met since as many before.
-KEPT = 500_000
+KEPT = 300_000
 #: Texts with other characters than these are given to the tokenizer whole: ASCII but for four that Python takes for blanks,
 #: Latin letters but for the dotted capital I, and common signs; and texts with what could begin a special token.
 _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]|<\\|")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, field
+from .common import cut, field
 from .graph import components
 
 #: Members of a top node before it is split, and bits by which it is split.
@@ -237,16 +237,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int
 
 # ---- similar texts --------------------------------------------------------------------------------------------------
 
-#: Keys of a text, and least values of its shingles in a key: of texts of similarity 0.8, 5e-5 share no key.
-KEYS, PER_KEY = 25, 5
-#: Least values of a text; two bits of each are its sketch.
-MINIMA = 128
+#: Keys of a text, and least values of its shingles in a key: of texts of similarity 0.8, 2.2e-4 share no key.
+KEYS, PER_KEY = 16, 4
+#: Parts of the range of hashes; the least shingle of each leaves 4 bits in the sketch of a text.
+BINS = 512
 #: Deviations by which an estimate from sketches may fall short: loses 1e-5 at the similarity asked for.
 SLACK = 4.3
-#: Keys under which texts are held against the first before the pairs that are left are listed.
-STARS = 4
+#: Bits by which fingerprints of five-word shingles may differ for the first look.
+RADIUS = 3
+#: Shingles of the texts of one block that are held against each other in one task.
+CHUNK_SHINGLES = 1 << 17
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, KEYS * PER_KEY, np.uint64) * np.uint64(2) + np.uint64(1)
+_NIBBLES = np.uint64(0x1111111111111111)
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -257,139 +260,178 @@ def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
     runs = np.zeros(len(codes) - width + 1 if len(codes) else 0, np.uint64)
     for i in range(width):
         runs = (runs ^ (runs >> np.uint64(32))) * _MIX[i % len(_MIX)] + codes[i : i + len(runs)]
+    runs = (runs ^ (runs >> np.uint64(32))) * _MIX[0]
     return np.unique(runs ^ (runs >> np.uint64(29)))
 
 
-def signature(text: bytes | None, size: int = 5) -> tuple[np.ndarray, int, bytes, bytes]:
-    """(KEYS keys, number of different shingles, sketch, digest of the word sequence) of a whole text; no keys without words."""
+def sketch_of(codes: np.ndarray) -> bytes:
+    """4 bits for each of BINS parts of the range of hashes: 0 where a text has no shingle there, else 1 to 15 by the least one."""
+    bins = (codes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    nibbles = np.zeros(BINS, np.uint8)
+    nibbles[bins[first]] = 1 + (codes[first] * _MIX[1] >> np.uint64(40)) % np.uint64(15)
+    return (nibbles[::2] << 4 | nibbles[1::2]).tobytes()
+
+
+def signature(text: bytes | None, size: int = 5) -> tuple[np.ndarray, int, bytes, bytes, bytes]:
+    """(KEYS keys, number of different shingles, fingerprint, sketch, digest of the word sequence) of a whole text; no keys
+    without words."""
     codes = shingle_set(text, size)
-    least = np.full(MINIMA, ~np.uint64(0))
+    least = np.full(len(_FACTORS), ~np.uint64(0))
     for at in range(0, len(codes), CHUNK >> 4):
         np.minimum(least, (codes[at : at + (CHUNK >> 4), None] * _FACTORS[None, :]).min(axis=0), out=least)
     keys = np.arange(KEYS, dtype=np.uint64)
-    for part in least[: KEYS * PER_KEY].reshape(KEYS, PER_KEY).T:
+    for part in least.reshape(KEYS, PER_KEY).T:
         keys = (keys ^ (keys >> np.uint64(32))) * _MIX[0] + (part ^ (part >> np.uint64(31))) * _MIX[1]
-    bits = np.unpackbits(((least >> np.uint64(24)) & np.uint64(3)).astype(np.uint8)[:, None], axis=1)[:, 6:]
-    return keys if len(codes) else keys[:0], len(codes), np.packbits(bits).tobytes(), xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
-
-
-def farthest(similarity: float) -> int:
-    """Of MINIMA pairs of bits, those in which texts of that similarity differ: their expected number and SLACK deviations."""
-    apart = 0.75 * (1 - similarity)
-    return math.ceil(MINIMA * apart + SLACK * math.sqrt(MINIMA * apart * (1 - apart)))
-
-
-def _near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the texts at i and j may have that similarity, by their numbers of shingles and their sketches."""
-    few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    near = few >= similarity * many - 1e-9
-    differs = sketch[i[near]] ^ sketch[j[near]]
-    differs = (differs | (differs >> np.uint64(1))) & np.uint64(0x5555555555555555)
-    near[near] = np.bitwise_count(differs).sum(axis=1, dtype=np.int32) <= farthest(similarity)
-    return near
-
-
-def _columns(table) -> tuple[np.ndarray, ...]:
-    """tab, key, node, n and sketches of entries."""
-    tab, key, node, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "key", "node", "n"))
-    return tab, key, node, n, np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> dict:
-    return {"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}
-
-
-def _stars(entries: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts with the first under the same key. A large key is spread over tasks; pairs across tasks are left out."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                tab, key, node, n, sketch = _columns(batch)
-                fresh = np.concatenate([[True], (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
-                first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-                at = np.flatnonzero(node != node[first])
-                at = at[_near(n, sketch, first[at], at, similarity)]
-                yield pa.RecordBatch.from_pydict(_pairs(node[first[at]], node[at]))
-
-    order = ["tab", "key", "node"]
-    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(group: pa.Table, similarity: float) -> pa.Table:
-    """All pairs (a, b) of texts that share a key but are in different groups so far, and may be similar."""
-    _, key, node, n, sketch = _columns(group)
-    joined = group.column("joined").to_numpy()
-    order = np.argsort(key, kind="stable")
-    key, node, n, sketch, joined = key[order], node[order], n[order], sketch[order], joined[order]
-    at, step, a, b = np.arange(len(key)), 0, [node[:0]], [node[:0]]
-    while len(at):
-        step += 1
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        i = at[joined[at] != joined[at + step]]
-        i = i[_near(n, sketch, i, i + step, similarity)]
-        a.append(node[i])
-        b.append(node[i + step])
-    return pa.table(_pairs(np.concatenate(a), np.concatenate(b)))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts share `similarity` of their different shingles, counted exactly."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).where("node is not null")
-    texts = cut(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "pair-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-
-    def run(batches):
-        for batch in batches:
-            seen: dict[bytes, np.ndarray] = {}
-            keep = []
-            for texts in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                for text in texts:
-                    if text not in seen:
-                        seen[text] = shingle_set(text, size)
-                x, y = (seen[text] for text in texts)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "similar-pairs")
-    drop_cut(texts)
-    return out
+    words = xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
+    return keys if len(codes) else keys[:0], len(codes), majority(codes.astype(">u8").tobytes()), sketch_of(codes), words
+
+
+def likeness(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Estimated similarity of texts with n and m shingles by their sketches (rows of 64-bit words); -1 where they can't have
+    the similarity asked for: the parts in which they differ are then SLACK deviations too many."""
+    either, apart = sketch | other, sketch ^ other
+    some, differ = (np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & _NIBBLES).sum(axis=1, dtype=np.float64) for x in (either, apart))
+    far = (1 - similarity) * some + SLACK * np.sqrt(some * similarity * (1 - similarity))
+    fits = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= far)
+    return np.where(fits, 1 - differ / np.maximum(some, 1), -1.0)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+class _Texts:
+    """Texts of one block, or of a part of one, and what their pairs are judged by."""
+
+    def __init__(self, rows: pa.Table, size: int, similarity: float):
+        self.size, self.similarity = size, similarity
+        self.node, self.n, self.label, self.side = (rows[c].to_numpy() for c in ("node", "n", "label", "side"))
+        self.n, self.fp = self.n.astype(np.float64), rows["fp"].to_numpy().view(np.uint64)
+        self.keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(self.node), -1)
+        self.sketch, self.texts, self.sets = _sketches(rows["sketch"]), rows["text"].cast(pa.binary()).to_pylist(), {}
+
+    def _set(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingle_set(self.texts[i], self.size)
+        return self.sets[i]
+
+    def similar(self, i: int, j: int) -> bool:
+        """Whether two texts share that part of their different shingles, counted exactly."""
+        x, y = self._set(i), self._set(j)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared >= self.similarity * (len(x) + len(y) - shared) - 1e-9
+
+    def links(self) -> list[tuple[int, int]]:
+        """Similar pairs of nodes that join the groups of label; where side 1 has texts, those of side 0 are held against them
+        alone.
+
+        A text is held against those it is not joined to yet, that share a key with it or have a fingerprint within RADIUS
+        bits, and whose sketches may be that similar, the likeliest first.
+        """
+        out, label, after = [], self.label.copy(), self.side == 1
+        apart = bool(after.any())
+        for i in np.flatnonzero(self.side == 0).tolist():
+            rest = np.flatnonzero((label != label[i]) & after) if apart else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            rest = rest[(self.keys[rest] == self.keys[i]).any(axis=1) | (np.bitwise_count(self.fp[rest] ^ self.fp[i]) <= RADIUS)]
+            if not len(rest):
+                continue
+            like = likeness(self.n[i], self.sketch[i], self.n[rest], self.sketch[rest], self.similarity)
+            for j in rest[np.argsort(-like, kind="stable")[: int((like >= 0).sum())]].tolist():
+                if label[j] != label[i] and self.similar(i, j):
+                    label[label == label[j]] = label[i]
+                    out.append((int(self.node[i]), int(self.node[j])))
+        return out
+
+
+def _linked(rows: DataFrame, by: list[str], size: int, similarity: float) -> DataFrame:
+    """(a, b): similar texts that join the groups (label) of each block, as far as its rows are dealt to one task."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("block", "ascending"), ("node", "ascending")])
+        block, found = group["block"].to_numpy(), []
+        for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
+            found += _Texts(group.slice(int(part[0]), len(part)), size, similarity).links()
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select(*[c for c in by if c != "block"], "block", "node", "label", "side", "n", "fp", "keys", "sketch", "text").groupBy(*by).applyInArrow(run, "a long, b long")
+
+
+def _chunk(chunks, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "node"), chunks).cast("int")
+
+
+def _block_links(held: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar texts of each block. held: a written table (block, node, n, fp, keys, sketch, text).
+
+    Small blocks go to tasks whole. The texts of a large one are dealt to chunks at random, twice, which joins most of a
+    large group at a cost in proportion to it; then the texts outside its largest group are held against all others.
+    """
+    held = held.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
+    sums = cut(held.groupBy("block").agg(F.sum("n").alias("shingles")), "block-sizes")
+    cells = max(1, math.ceil((sums.agg(F.sum("shingles")).first()[0] or 0) / CHUNK_SHINGLES))
+    chunked = cut(sums.where(F.col("shingles") > CHUNK_SHINGLES).select("block", F.ceil(F.col("shingles") / CHUNK_SHINGLES).alias("chunks")), "large-blocks")
+    if chunked.isEmpty():
+        return _linked(held.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(cells))), ["deal"], size, similarity)
+    small = held.join(chunked, "block", "left_anti").withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(cells)))
+    links = cut(_linked(small, ["deal"], size, similarity), "similar-pairs")
+    large = cut(held.join(chunked, "block"), "large-block-texts")
+    for seed in (1, 2):
+        links = links.union(cut(_linked(large.withColumn("deal", _chunk(F.col("chunks"), seed)), ["block", "deal"], size, similarity).select("a", "b"), "similar-pairs"))
+    groups = components(links)
+    labelled = cut(large.drop("label").join(groups.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")), "large-block-groups")
+    main = labelled.groupBy("block", "label").agg(F.sum("n").alias("held")).groupBy("block").agg(F.max(F.struct("held", "label")).alias("top")).select("block", F.col("top.label").alias("main"))
+    rest = labelled.join(cut(main, "main-groups"), "block").where("label <> main").drop("main")
+    few = cut(rest.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("rests")), "rest-sizes")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    low = rest.join(few, "block").withColumn("low", _chunk(F.col("rests"), 3)).withColumn("high", spread("chunks"))
+    high = labelled.join(few, "block").withColumn("high", _chunk(F.col("chunks"), 4)).withColumn("low", spread("rests")).withColumn("side", F.lit(1))
+    last = _linked(low.unionByName(high), ["block", "low", "high"], size, similarity)
+    return links.union(cut(last, "similar-pairs"))
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document with an id: groups of texts chained by similarity 0.8 or more, the shared
     part of their different shingles of five words.
 
-    A text has KEYS keys, each of PER_KEY least shingles under as many hashes, so that two texts share a given key with
-    probability similarity ** PER_KEY wherever their words differ. Pairs with a key in common whose sketches may be that
-    similar are verified by their shingles. Pairs with the first text under some keys come first; then all pairs that are
-    still in different groups, so a group is not compared throughout. Texts with the same words are one node. Null and
-    empty texts are alike.
+    Two looks find what may be similar. The Gray index links SimHash fingerprints of the shingles within RADIUS bits, which
+    takes near copies together at a small cost, but of texts of similarity 0.8 fewer than one pair in a hundred has
+    fingerprints that close. So a text also has KEYS keys, each of PER_KEY least shingles under as many hashes, and two
+    texts share a given key with probability similarity ** PER_KEY wherever their words differ. Chains of either make
+    blocks, found from one link a text and key. Within a block, pairs with a common key or close fingerprints whose sketches
+    may be that similar are verified by all their shingles, unless the two are joined already. Tasks return the links that
+    join their groups, never all pairs. Texts with the same words are one node. Null and empty texts are alike.
     """
 
     def run(batches):
         for batch in batches:
-            found = [signature(x, size) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k.view(np.int64).tolist() for k, *_ in found], pa.list_(pa.int64())), pa.array([n for _, n, *_ in found], pa.int32()), pa.array([s for *_, s, _ in found], pa.binary()), pa.array([d for *_, d in found], pa.binary())],
-                ["doc_id", "keys", "n", "sketch", "words"],
-            )
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    found = cut(texts.mapInArrow(run, "doc_id long, keys array<long>, n int, sketch binary, words binary"), "signatures")
-    nodes = cut(found.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(F.struct("n", "sketch", "keys")).alias("x")).select("words", "node", "x.n", "x.sketch", "x.keys"), "texts")
-    first = nodes.select("node", "n", "sketch", F.posexplode(F.slice("keys", 1, STARS)).alias("tab", "key"))
-    tried = cut(_stars(first, similarity), "star-pairs")
-    links = verified(tried, docs, size, similarity)
-    groups = cut(components(links), "groups-so-far")
-    cells = max(1, math.ceil(nodes.count() / BLOCK))
-    entries = nodes.join(groups, "node", "left").select("node", "n", "sketch", F.coalesce("component", "node").alias("joined"), F.posexplode("keys").alias("tab", "key"))
-    dealt = entries.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
-    left = dealt.groupBy("tab", "cell").applyInArrow(lambda group: _across(group, similarity), "a long, b long").distinct()
-    left = cut(left.join(tried, ["a", "b"], "left_anti"), "pairs-left")
-    groups = components(links.union(verified(left, docs, size, similarity)))
+            for first in range(0, batch.num_rows, 1024):
+                some = batch.slice(first, 1024)
+                keys, n, fps, sketches, words = zip(*[signature(x, size) for x in some.column(2).cast(pa.binary()).to_pylist()], strict=True)
+                listed = pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))
+                columns = [some.column(0), some.column(1), listed, pa.array(n, pa.int32()), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64)), pa.array(sketches, pa.binary()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "keys", "n", "fp", "sketch", "words"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).where("doc_id is not null")
+    found = cut(texts.mapInArrow(run, "doc_id long, text_key long, keys array<long>, n int, fp long, sketch binary, words binary"), "signatures")
+    nodes = found.groupBy("words").agg(F.min(F.struct("doc_id", "text_key", "n", "fp", "sketch", "keys")).alias("x"))
+    nodes = cut(nodes.select("words", F.col("x.doc_id").alias("node"), "x.text_key", "x.n", "x.fp", "x.sketch", "x.keys"), "texts")
+    sized = nodes.where("n > 0")
+    # fingerprints: those that are equal, and those that the index links
+    marks = cut(sized.groupBy("fp").agg(F.min("node").alias("node")).withColumn("tab", F.lit(0)), "fingerprints")
+    same = sized.select("fp", F.col("node").alias("b")).join(marks.select("fp", F.col("node").alias("a")), "fp").where("a < b").select("a", "b")
+    near = fingerprint_links(marks, RADIUS)
+    # keys that several texts have: each text is linked to the first
+    entries = sized.select("node", F.explode("keys").alias("key"))
+    shared = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("first")).where("held > 1").select("key", "first"), "shared-keys")
+    keyed = entries.join(shared, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    chained = cut(components(same.union(near).union(keyed).distinct()), "chains")
+    blocks = chained.select("node", F.col("component").alias("block")).union(chained.select("component", "component").distinct())
+    held = sized.drop("words").join(cut(blocks, "blocks"), "node")
+    whole = texts.select(F.col("doc_id").alias("node"), "text_key", "text").join(held.select("node", "text_key").distinct(), ["node", "text_key"], "left_semi")
+    held = cut(held.join(whole.dropDuplicates(["node", "text_key"]), ["node", "text_key"]), "block-texts")
+    groups = components(cut(_block_links(held, size, similarity), "similar-pairs"))
     classes = cut(nodes.join(groups, "node", "left").select("words", F.coalesce("component", "node").alias("component_id")), "classes")
     return found.select("doc_id", "words").join(classes, "words").select("doc_id", "component_id")
 
