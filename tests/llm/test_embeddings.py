@@ -48,3 +48,20 @@ def test_threshold_of_the_count_keeps_what_it_promises():
     count, hit = E.least_count(), math.erf(E.WIDTH / math.sqrt(2))
     lost = sum(math.comb(E.PROJECTIONS, k) * hit**k * (1 - hit) ** (E.PROJECTIONS - k) for k in range(count))
     assert lost < E.LOSS and count > E.PROJECTIONS / 2
+
+
+def test_any_number_of_lengths(spark):
+    rows = [(2 * d + k, [1.0] * d + [0.01 * k], 0) for d in range(1, 1201) for k in (0, 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(table(spark, rows)).collect()}
+    assert got == {2 * d + k: (1, 2 * d) for d in range(1, 1201) for k in (0, 1)}
+
+
+def test_counters_equal_dense_comparison():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (70, 130), (300, 64)):
+        left, right = rng.standard_normal((n, 32)), rng.standard_normal((m, 32))
+        want = (np.abs(left[:, None] - right[None]) <= 1.2).sum(axis=2)
+        for count in (0, 13, 19, 32):
+            x, y = E._colliding(left, right, 1.2, count)
+            pairs = [(i, j) for i, j in zip(x.tolist(), y.tolist()) if j < m]
+            assert sorted(pairs) == sorted(map(tuple, np.argwhere(want >= count).tolist()))

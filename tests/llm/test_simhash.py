@@ -65,6 +65,19 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_query_equals_brute_force(spark):
+    """op5 over whole documents: fingerprints by definition, and components of all pairs within 2 bits."""
+    from rasterloom.llm import registry
+
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    fps = np.array([plain_fingerprint(r["text"] or "") for r in docs], np.uint64)
+    ids = [r["doc_id"] for r in docs]
+    pairs = [(ids[a], ids[b]) for a, b in np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2) if a < b]
+    want, got = roots(ids, pairs), {r["doc_id"]: r for r in registry.op5_simhash_dedup(spark, data).collect()}
+    assert {i: (got[i]["fingerprint"], got[i]["component_id"]) for i in ids} == {i: (f"{int(f):016x}", want[i]) for i, f in zip(ids, fps, strict=True)}
+
+
 def test_odd_documents(odd_docs):
     got = S.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.where("doc_id is not null").count()
@@ -117,6 +130,26 @@ def test_texts_with_blocks_appended_cut_off_or_replaced_are_grouped(spark):
     assert got == {i: i - i % 2 if similar[i // 2] >= 0.8 else i for i in range(120)}
 
 
+def test_a_large_block_is_joined_in_chunks(spark, monkeypatch):
+    """Near copies of one text, some of them far from most others, and texts that share keys but are not similar."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(260):
+        text = list(base)
+        for at in rng.choice(150, rng.integers(1, 7), replace=False):
+            text[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(text)))
+    links = [(i, j) for i in range(260) for j in range(i) if plain_similarity(rows[i][1], rows[j][1]) >= 0.8]
+    want = roots(range(260), links)
+    assert 2 < len(set(want.values())) and 100 < len(links) < 260 * 259 / 2
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "CHUNK_SHINGLES", 4000)
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(table).collect()}
+    lost = [(i, j) for i, j in links if got[i] != got[j]]
+    assert not lost and got == want
+
+
 def test_texts_below_the_similarity_are_not_grouped(spark):
     rng = np.random.default_rng(12)
     rows = []

@@ -44,6 +44,18 @@ def test_archives_round_trip_whatever_the_splits(spark, tmp_path, split):
         assert r["payload"] is None if revisit else bytes(r["payload"]) == payload
 
 
+def test_archives_of_version_1_1_and_repeated_ids(spark, tmp_path):
+    body = "x" * 2000
+    text = "".join(f"WARC/1.{i % 2}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body) + i}\r\n\r\n{body}{'WARC/1.9'[:i]}\r\n\r\n" for i in range(9))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(text.encode())
+    got = {r["record_id"]: r["payload_bytes"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {f"<urn:page:{i}>": 2000 + i for i in range(9)}
+    pages = spark.createDataFrame([(5, "u", body), (5, "u", body), (4, "v", body), (None, None, body), (6, "w", "WARC/1.0\r\n" + body)], "page_id long, url string, html string")
+    rows = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages).collect())
+    assert rows == [(0, "response", None, 2000), (4, "revisit", 5, 2000), (5, "response", None, 2000), (5, "response", None, 2000), (6, "response", None, 2010)]
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -75,6 +87,21 @@ def test_pieces_cover_every_document(spark, data, odd_docs):
     tokens = sum(r["length"] for r in got)
     assert tokens / (len(seq) * packing.LENGTH) > 0.95
     assert packing.pack(docs.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in packing.pack(odd_docs).where("start = 0").collect() if (r["doc_id"] or 7) == 7) == [(0, 5), (7, 17), (7, 17)]
+
+
+def test_words_are_remembered_over_generations():
+    from tokenizers import Tokenizer
+
+    tokenizer, words, rng = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path()), random.Random(2)
+    before, packing.KEPT = packing.KEPT, 50
+    try:
+        for _ in range(60):
+            texts = [" ".join(rng.choice(["alpha", "it's", "beta.", "(gamma", "x1y2"]) + "z" * rng.randint(0, 9) for _ in range(30)) for _ in range(4)]
+            assert words.encode_all(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            assert len(words) < 400
+    finally:
+        packing.KEPT = before
 
 
 def test_plans_use_exactly_the_items():

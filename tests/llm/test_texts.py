@@ -1,5 +1,6 @@
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -40,9 +41,9 @@ def test_multi_index_guarantees_its_radius():
     for _ in range(300):
         fp = own[rng.integers(50)].copy()
         bits = np.unpackbits(fp)
-        bits[rng.choice(64, rng.integers(0, 30), replace=False)] ^= 1
+        bits[rng.choice(128, rng.integers(0, 50), replace=False)] ^= 1
         fp = np.packbits(bits)
-        want = {int(items[k]) for k in range(50) if np.bitwise_count(own[k] ^ fp).sum() <= decontam.RADIUS}
+        want = {int(items[k]) for k in range(50) if any(np.bitwise_count((own[k] ^ fp)[t : t + 8]).sum() <= decontam.RADIUS for t in (0, 8))}
         assert {i for _, i in index.lookup(20, fp[None])} == want
 
 
@@ -111,18 +112,52 @@ def test_url_filter_by_hand(spark):
     assert urls.url_filter(captures.limit(0), entries).count() == 0
 
 
-def test_suffix_automaton_parses_like_a_search():
+def plain_phrases(base, text):
+    """Longest matches that a text is parsed into, from left to right, by searching the base again and again."""
+    count, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in base:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
+def test_suffix_automata_parse_like_a_search():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        base, text = ("".join(rng.choice(list("abc"), rng.integers(1, 40))) for _ in range(2))
-        text += "z"[: rng.integers(2)] + base[:5]
-        want, at = 0, 0
-        while at < len(text):
-            n = 1
-            while at + n < len(text) and text[at : at + n + 1] in base:
-                n += 1
-            want, at = want + 1, at + n
-        assert language.SuffixAutomaton(base).phrases(text) == want
+    bases = {k: "".join(rng.choice(list("ab é"), 80)) for k in "xyz"}
+    texts = [f" {''.join(rng.choice(list('ab éq'), rng.integers(1, 90)))} " for _ in range(50)] + ["", "a", " é "]
+    parser = language.CrossParser(bases)
+    for block in (language.BLOCK, 7):
+        language.BLOCK, before = block, language.BLOCK
+        try:
+            costs = parser.costs(texts)
+        finally:
+            language.BLOCK = before
+        for row, text in zip(costs, texts, strict=True):
+            raw = text.encode()
+            want = [sum(plain_phrases(b.encode(), raw[at : at + block]) for at in range(0, len(raw), block)) * np.log2(len(b.encode())) for b in bases.values()]
+            assert np.allclose(row, want)
+
+
+def test_the_language_query_equals_a_plain_parse(spark, data):
+    """The query over its whole table, against a search in the learned texts, text by text."""
+    from rasterloom.llm import registry
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    fold = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in rows}
+    learned = language.learn(spark.createDataFrame([r for r in rows if fold[r["doc_id"]] != 2], docs.select("doc_id", "text", "lang").schema))
+    got = {r["doc_id"]: r for r in registry.op8_language_id(spark, data).collect()}
+    assert got.keys() == fold.keys() and all(r["held_out"] == (fold[i] == 2) for i, r in got.items())
+    bases = {k: v.encode() for k, v in learned.items()}
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[: len(rows) // 3]:  # the plain parse is slow for long ones
+        raw = language.letters(r["text"]).encode()
+        want = ("und", 0.0)
+        if raw:
+            costs = sorted((sum(plain_phrases(b, raw[at : at + language.BLOCK]) for at in range(0, len(raw), language.BLOCK)) * np.log2(len(b)), i, k) for i, (k, b) in enumerate(bases.items()))
+            want = (costs[0][2], 1 - costs[0][0] / costs[1][0])
+        assert got[r["doc_id"]]["lang_pred"] == want[0] and abs(got[r["doc_id"]]["score"] - want[1]) < 1e-12
 
 
 def test_languages(spark, data, odd_docs):
@@ -130,10 +165,19 @@ def test_languages(spark, data, odd_docs):
     got = {r["doc_id"]: r for r in language.held_out_languages(docs).collect()}
     right = [got[r["doc_id"]]["lang_pred"] == r["lang"] for r in docs.collect() if got[r["doc_id"]]["held_out"]]
     assert len(got) == docs.count() and sum(right) / len(right) > 0.95 and all(0 <= r["score"] <= 1 for r in got.values())
-    odd = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd_docs, {"en": " the one two ", "fr": " le un deux "}).collect()}
-    assert [odd[i] for i in (1, 2, 3, 4, 10)] == ["en", "und", "und", "und", "und"] and len(odd) == 11
+    odd = language.identify(odd_docs, {"en": " the one two three ", "fr": " le un deux trois "}).collect()
+    of = {r["doc_id"]: r["lang_pred"] for r in odd}
+    assert [of[i] for i in (1, 2, 3, 4, 10)] == ["en", "und", "und", "und", "und"] and len(of) == 11 and len(odd) == odd_docs.count()
     assert language.identify(odd_docs, {}).where("lang_pred <> 'und'").count() == 0
     assert language.held_out_languages(docs.limit(0)).count() == 0
+    held = language.held_out_languages(odd_docs).collect()
+    assert len(held) == odd_docs.count() and all(r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held)
+
+
+def test_learned_samples_keep_their_bounds(spark):
+    rows = [(i, f"wort{i} " * 900, "de") for i in range(300)] + [(7, "anders", "de"), (None, "ohne", "de"), (8, None, "en"), (9, "some words", None)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.keys() == {"de"} and len(learned["de"]) == language.SAMPLE_CHARS and learned["de"].count("wort12 ") <= language.DOC_CHARS
 
 
 def test_marginals_equal_enumeration():
@@ -151,13 +195,38 @@ def test_marginals_equal_enumeration():
     assert np.allclose(whole[:5], on / total) and np.allclose(whole[-5:], on / total)
 
 
+def plain_toxicity(model, text):
+    step, values = np.exp(model.moves), []
+    for line in text.split("\n"):
+        lifts = [np.exp(np.clip(sum(model.weights.get(f, 0.0) for f in ["", *toxicity.features(w.lower())]), -30, 30)) for w in re.findall(r"[^\W\d_]+", line)]
+        for at in range(0, len(lifts), toxicity.CHAIN):
+            part = lifts[at : at + toxicity.CHAIN]
+            ahead, behind = [np.array([1.0, np.exp(model.start) * part[0]])], [np.ones(2)]
+            for x in part[1:]:
+                now = (ahead[-1] @ step) * [1.0, x]
+                ahead.append(now / now.sum())
+            for x in part[:0:-1]:
+                now = step @ (behind[0] * [1.0, x])
+                behind.insert(0, now / now.sum())
+            values += [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, behind, strict=True)]
+    most = np.clip(max(values, default=1e-7), 1e-7, 1 - 1e-7)
+    x = [1.0, np.log(most / (1 - most)) / 4, np.log1p(sum(v > 0.5 for v in values)), min(1.0, 20 * sum(values) / (len(values) + 20))]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.fit), -30, 30)))
+
+
 def test_toxicity_on_held_out_labels(spark):
     data = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in toxicity.held_out_toxicity(docs, labels).collect()}
     pairs = [(r["toxic"], got[r["doc_id"]]["predicted"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
     assert len(got) == docs.count() and sum(t and p for t, p in pairs) >= 0.6 * sum(t for t, _ in pairs) and sum(p and not t for t, p in pairs) <= 2
+    # every text against a plain chain: one word after another, in the two states
+    model = toxicity.learn(docs, labels.where(toxicity.fold_of() != 1))
+    for r in docs.collect():
+        assert abs(got[r["doc_id"]]["score"] - plain_toxicity(model, r["text"] or "")) < 1e-9
     hit = next(r for r in got.values() if r["predicted"] and r["spans"])
+    odd = toxicity.held_out_toxicity(docs.select("doc_id", "text").union(docs.limit(3).selectExpr("cast(null as long)", "text")).union(docs.limit(3).select("doc_id", "text")), labels).collect()
+    assert len(odd) == docs.count() + 6 and all(r["held_out"] is False for r in odd if r["doc_id"] is None)
     text = docs.where(f"doc_id = {hit['doc_id']}").first()["text"]
     assert all(text[s["start"] : s["stop"]] == s["word"] and not re.search(r"\s", s["word"]) for s in hit["spans"])
 
