@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def luma(b: Column, g: Column, r: Column) -> Column:
 
 
 def number_fill(b: Column, g: Column, r: Column) -> Column:
-    """Gray of a number printed on a colour: white on dark ones."""
+    """Gray of a number printed on a colour: white on dark ones (fixed value: a luma below 140)."""
     return F.when(luma(b, g, r) < 140, 255).otherwise(0)
 
 
@@ -88,6 +89,60 @@ def paper_under(coverage: Column, gray: Column) -> Column:
     return F.rint(255 - coverage * (255 - gray) / 255).cast("int")
 
 
+# ---- the same for whole arrays, in kernels and Arrow batches ---------------------------------------------------------
+
+
+def lab_array(bgr: np.ndarray) -> np.ndarray:
+    """Lab of 8-bit sRGB colours, blue first, along the last axis."""
+    v = np.asarray(bgr, np.float64)[..., ::-1] / 255
+    light = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
+    xyz = np.stack([light @ np.array(row) / sum(row) for row in XYZ], axis=-1)
+    x, y, z = np.moveaxis(np.where(xyz > (6 / 29) ** 3, np.cbrt(xyz), xyz * ((29 / 6) ** 2 / 3) + 4 / 29), -1, 0)
+    return np.stack([116 * y - 16, 500 * (x - y), 200 * (y - z)], axis=-1)
+
+
+def bgr_array(lab_: np.ndarray) -> np.ndarray:
+    """The nearest 8-bit sRGB colours, blue first, of Lab values."""
+    l, a, b = np.moveaxis(np.asarray(lab_, np.float64), -1, 0)
+    y = (l + 16) / 116
+    t = np.stack([y + a / 500, y, y - b / 200], axis=-1)
+    xyz = np.where(t > 6 / 29, t**3, (t - 4 / 29) * 3 * (6 / 29) ** 2) * [sum(row) for row in XYZ]
+    light = np.clip(xyz @ np.linalg.inv(np.array(XYZ)).T, 0, 1)
+    v = np.where(light <= 0.0031308, 12.92 * light, 1.055 * light ** (1 / 2.4) - 0.055)
+    return np.clip(np.rint(255 * v), 0, 255).astype(np.uint8)[..., ::-1]
+
+
+def de00_array(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """CIEDE2000 of Lab arrays that broadcast against each other."""
+    (l1, a1, b1), (l2, a2, b2) = np.moveaxis(p, -1, 0), np.moveaxis(q, -1, 0)
+    seventh = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
+    stretch = 1.5 - 0.5 * np.sqrt(seventh / (seventh + 25.0**7))
+    a1, a2 = a1 * stretch, a2 * stretch
+    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
+    h1, h2 = np.degrees(np.arctan2(b1, a1)) % 360, np.degrees(np.arctan2(b2, a2)) % 360
+    gray, turn, total = c1 * c2 == 0, h2 - h1, h1 + h2
+    mean = np.where(gray, total, np.where(np.abs(turn) <= 180, total / 2, np.where(total < 360, total / 2 + 180, total / 2 - 180)))
+    turn = np.where(gray, 0.0, turn - 360 * (turn > 180) + 360 * (turn < -180))
+    angle = np.radians(mean)
+    shape = 1 - 0.17 * np.cos(angle - np.radians(30)) + 0.24 * np.cos(2 * angle) + 0.32 * np.cos(3 * angle + np.radians(6)) - 0.20 * np.cos(4 * angle - np.radians(63))
+    chroma, middle = (c1 + c2) / 2, ((l1 + l2) / 2 - 50) ** 2
+    x = (l2 - l1) / (1 + 0.015 * middle / np.sqrt(20 + middle))
+    y = (c2 - c1) / (1 + 0.045 * chroma)
+    z = 2 * np.sqrt(c1 * c2) * np.sin(np.radians(turn / 2)) / (1 + 0.015 * chroma * shape)
+    twist = -2 * np.sin(np.radians(60 * np.exp(-(((mean - 275) / 25) ** 2)))) * np.sqrt(chroma**7 / (chroma**7 + 25.0**7))
+    return np.sqrt(np.maximum(x * x + y * y + z * z + twist * y * z, 0))
+
+
+def nearest_array(lab_: np.ndarray, palette: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the palette, distance to nine digits) closest by CIEDE2000 to each Lab row, the first of equals."""
+    row, far = np.zeros(len(lab_), np.int64), np.zeros(len(lab_))
+    for at in range(0, len(lab_), 1 << 14):
+        d = np.round(de00_array(lab_[at : at + (1 << 14), None], palette[None]), 9)
+        row[at : at + len(d)] = d.argmin(axis=1)
+        far[at : at + len(d)] = d.min(axis=1)
+    return row, far
+
+
 # ---- the same as DuckDB macros, for the checking SQL ------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ MM_PER_INCH, PT_PER_INCH = 25.4, 72.0
 SETTINGS = (
     ("num_colors", 2.0, 64.0, True, ""), ("palette_margin_de00", 0.0, 20.0, False, "dE"), ("min_region_area_mm2", 2.0, 500.0, False, "mm2"), ("min_width_mm", 0.5, 6.0, False, "mm"), ("brush_px", 2.0, 8.0, False, "px"),
     ("sharpest_corner_deg", 5.0, 180.0, False, "deg"), ("corner_contrast_de00", 0.0, 60.0, False, "dE"), ("blur_sigma", 0.0, 12.0, False, ""), ("edge_settling", 0.0, 3.0, False, ""), ("edge_color_step_de00", 1.0, 40.0, False, "dE"),
-    ("detail_weight", 1.0, 4.0, False, ""), ("mark_contrast", 2.0, 50.0, False, "L"), ("mark_length_mm", 0.5, 10.0, False, "mm"), ("face_tone_step_de00", 0.0, 5.0, False, "dE"), ("line_width_mm", 0.1, 1.0, False, "mm"),
+    ("detail_weight", 1.0, 4.0, True, ""), ("mark_contrast", 2.0, 50.0, False, "L"), ("mark_length_mm", 0.5, 10.0, False, "mm"), ("face_tone_step_de00", 0.0, 5.0, False, "dE"), ("line_width_mm", 0.1, 1.0, False, "mm"),
     ("line_smoothing_mm", 0.0, 2.0, False, "mm"), ("min_label_pt", 3.0, 12.0, False, "pt"), ("leader_reach_mm", 1.0, 20.0, False, "mm"), ("text_gap_mm", 0.0, 3.0, False, "mm"), ("thin_ink_mm", 0.0, 5.0, False, "mm"),
     ("ink_gap_mm", 0.0, 3.0, False, "mm"), ("text_max_height_mm", 5.0, 60.0, False, "mm"),
 )
@@ -52,7 +52,7 @@ def clamped(values: DataFrame, settings: DataFrame) -> DataFrame:
     held = F.least(F.greatest("value", "least"), "most")
     held = F.when(F.col("whole"), F.rint(held)).otherwise(held)
     out = values.join(F.broadcast(settings), "name").withColumn("held", held)
-    text = F.when(F.col("whole"), F.col("held").cast("long").cast("string")).otherwise(F.format_string("%.2f", "held"))
+    text = F.when(F.col("whole"), F.col("held").cast("long").cast("string")).otherwise(F.format_string("%.2f", "held"))  # two places, as the finest step has
     return out.withColumn("text", F.when(F.col("unit") == "", text).otherwise(F.concat_ws(" ", text, "unit")))
 
 
@@ -62,16 +62,59 @@ def settings(spark) -> DataFrame:
 
 
 def preferred_font(radius: Column, floor: Column) -> Column:
-    """Font size of a number in a region of that radius: 0.85 of it, between the floor and 40 px."""
+    """Font size of a number in a region of that radius (fixed values: 0.85 of it, 40 px at most), not below the floor."""
     return F.greatest(floor, F.least(F.lit(40), F.floor(radius * 0.85).cast("int")))
 
 
+def _corner(degrees: Column, value: Column) -> Column:
+    """0 from 180 degrees on; an angle of 0 or less is an error."""
+    return F.when(degrees >= 180, 0.0).when(degrees > 0, value).otherwise(F.raise_error(F.lit("a corner has an angle above 0")))
+
+
 def tip_length(degrees: Column) -> Column:
-    """How far a brush stays from the tip of a corner, in radii."""
-    return 1 / F.sin(F.radians(degrees) / 2) - 1
+    """How far the point of a corner lies beyond the brush, in radii."""
+    return _corner(degrees, 1 / F.sin(F.radians(degrees) / 2) - 1)
 
 
 def tip_depth(degrees: Column) -> Column:
-    """Area that the brush can't reach in a corner, over the length of its base, in radii."""
-    half = F.radians(degrees) / 2
-    return (1 / F.tan(half) - (math.pi / 2 - half)) / (2 * F.cos(half))
+    """Area that the brush can't reach in a corner over the length of the arc where it stops, in radii."""
+    angle = F.radians(degrees)
+    return _corner(degrees, (1 / F.tan(angle / 2) - (math.pi - angle) / 2) / (math.pi - angle))
+
+
+# The levels of difficulty, and what they share; the finest page that pages are compared at.
+LEVELS = (("Beginner", 16, 10.0, 1.0, 1.2), ("Easy", 20, 8.0, 0.8, 1.0), ("Medium", 24, 6.0, 0.7, 0.9), ("Hard", 28, 4.0, 0.6, 0.8), ("Realistic", 32, 2.0, 0.5, 0.7))
+SHARED = (("palette_margin_de00", 4.0), ("edge_settling", 3.0), ("edge_color_step_de00", 1.0), ("detail_weight", 4.0), ("sharpest_corner_deg", 180.0), ("corner_contrast_de00", 0.0))
+FINEST = (("num_colors", 40.0), ("min_region_area_mm2", 30.0), ("min_width_mm", 3.0), ("blur_sigma", 0.0), ("palette_margin_de00", 10.0), ("edge_settling", 1.0), ("edge_color_step_de00", 10.0), ("detail_weight", 2.0), ("sharpest_corner_deg", 180.0), ("corner_contrast_de00", 20.0))
+LEVEL_SETTINGS = ("num_colors", "min_region_area_mm2", "min_width_mm", "blur_sigma")
+
+
+def presets(spark) -> DataFrame:
+    """(preset, name, value): every setting of every level of difficulty, and of the finest page; a fixed number of rows."""
+    rows = [(level, n, float(v)) for level, *own in LEVELS for n, v in (*zip(LEVEL_SETTINGS, own, strict=True), *SHARED)]
+    return spark.createDataFrame(rows + [("Finest", n, v) for n, v in FINEST], "preset string, name string, value double")
+
+
+def params(chosen: DataFrame, presets: DataFrame, settings: DataFrame) -> DataFrame:
+    """(id, name, value): the settings of each choice: those of its preset, with what it chose itself, held within range, in their
+    place. chosen (id, preset, name, value); name is null where a choice is a preset alone. An unknown preset or name is an error."""
+    known = presets.select("preset").distinct().withColumn("ok", F.lit(True))
+    checked = chosen.join(F.broadcast(known), "preset", "left").withColumn("preset", F.when(F.col("ok"), F.col("preset")).otherwise(F.raise_error(F.concat(F.lit("no such preset: "), F.col("preset")))))
+    base = checked.select("id", "preset").distinct().join(F.broadcast(presets), "preset")
+    own = checked.where("name is not null").select("id", "name", "value").join(F.broadcast(settings), "name", "left")
+    held = F.least(F.greatest("value", "least"), "most")
+    held = F.when(F.col("least").isNull(), F.raise_error(F.concat(F.lit("no such setting: "), F.col("name")))).when(F.col("whole"), F.rint(held)).otherwise(held)
+    both = base.select("id", "name", "value").join(own.select("id", "name", held.alias("own")), ["id", "name"], "full")
+    return both.select("id", "name", F.coalesce("own", "value").alias("value"))
+
+
+def described(params: DataFrame) -> DataFrame:
+    """(id, text): the settings of each choice in words."""
+    wide = params.groupBy("id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in (*LEVEL_SETTINGS, "palette_margin_de00", "detail_weight", "sharpest_corner_deg")])
+    short = lambda c: F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
+    detail = F.when(F.col("detail_weight") == 1, "as much").when(F.col("detail_weight") == 2, "half that").otherwise(F.format_string("1/%d of that", F.col("detail_weight").cast("int")))
+    corners = F.when(F.col("sharpest_corner_deg") < 180, F.concat(F.lit("corners down to "), short("sharpest_corner_deg"), F.lit(" degrees kept sharp"))).otherwise("corners rounded to the brush")
+    return wide.select("id", F.concat(
+        F.format_string("Up to %d colors, at least ", F.col("num_colors").cast("int")), short("palette_margin_de00"), F.format_string(" dE apart. Regions of at least %d mm2 (", F.rint("min_region_area_mm2").cast("int")),
+        detail, F.lit(" on faces and the subject) and "), short("min_width_mm"), F.lit(" mm wide on paper, "), corners, F.lit("."),
+    ).alias("text"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A mean change counts from so many standard errors on; two sizes are a pair up to this share apart; a drift is worth a note.
 STANDARD_ERRORS, MAX_SIZE_CHANGE, DRIFT = 3.0, 0.01, 0.15
+# The share of its own size from which a page counts as an export, and the edge that tells it in old sets.
+OWN_SIZE, EXPORT_EDGE = 0.99, 1375
 CASE = ["result_set", "case_id", "image", "preset", "size"]
 
 
@@ -120,3 +122,46 @@ def quality_table(quality: DataFrame, metrics: DataFrame) -> DataFrame:
     side = lambda name, to: quality.where(F.col("result_set") == name).select("case_id", "metric", F.col("value").alias(to))
     both = side("cand", "after").join(side("base", "before"), ["case_id", "metric"], "left").join(F.broadcast(metrics.select("metric")), "metric", "left_semi")
     return both.select("case_id", "metric", F.round("before", 10).alias("before"), F.round("after", 10).alias("after"), F.round(F.col("after") - F.col("before"), 10).alias("delta"))
+
+
+def case_sizes(cases: DataFrame) -> DataFrame:
+    """(case_id, edge, unscaled, size): the long edge of each case's page, whether the page keeps its image's own size, and which
+    tolerance judges it. cases (case_id, asked, page_w, page_h, source_w, source_h); pages and sources may be null in old sets."""
+    edge = F.coalesce(F.greatest("page_w", "page_h"), F.col("asked"))
+    source = F.greatest("source_w", "source_h")
+    own = F.when(source.isNotNull(), edge >= source).otherwise(F.col("asked") > edge)
+    export = F.when(source.isNotNull(), edge >= OWN_SIZE * source).otherwise(F.col("asked") >= EXPORT_EDGE)
+    return cases.select("case_id", edge.alias("edge"), own.alias("unscaled"), F.when(export, "export").otherwise("preview").alias("size"))
+
+
+def case_flags(quality: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(case_id, flags): what is worse in each case than one pair allows, and regions that drifted; 'ok' where nothing is."""
+    found = changes(quality, metrics)
+    worse = found.where(F.col("worse") > STANDARD_ERRORS * F.col("sigma")).select("case_id", F.concat(F.col("metric"), F.lit(" worse")).alias("note"))
+    notes = worse.union(drift_notes(quality).select("case_id", F.lit("regions drifted"))).groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_list("note")), ", ").alias("flags"))
+    return found.select("case_id").distinct().join(notes, "case_id", "left").select("case_id", F.coalesce("flags", F.lit("ok")).alias("flags"))
+
+
+def misses(quality: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(case_id, misses): targets missed over targets scored in each set, the base's before an arrow where they differ."""
+    of = target_misses(quality, metrics).groupBy("result_set", "case_id").agg(F.format_string("%d/%d", F.count_if("miss"), F.count(F.lit(1))).alias("cell"))
+    side = lambda name, to: of.where(F.col("result_set") == name).select("case_id", F.col("cell").alias(to))
+    both = side("cand", "after").join(side("base", "before"), "case_id", "left")
+    return both.select("case_id", F.when(F.coalesce("before", "after") == F.col("after"), F.col("after")).otherwise(F.concat_ws(" -> ", "before", "after")).alias("misses"))
+
+
+def category_order(categories: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """(place, category): the categories there are: known ones in their order, then those without one, then the rest by name. As many
+    rows as categories."""
+    at = F.array_position(F.array(*map(F.lit, (*known, "uncategorized"))), F.col("category"))
+    there = categories.select(F.coalesce("category", F.lit("uncategorized")).alias("category")).distinct()
+    return there.select(F.row_number().over(Window.orderBy(F.when(at > 0, at).otherwise(len(known) + 2), "category")).alias("place"), "category")
+
+
+def sigma_overrides(items: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(metric, sigma) of items (item) that read METRIC=SIGMA. One that names no judged metric, or no number of 0 or more, is an
+    error."""
+    name, value = F.trim(F.regexp_extract("item", "^([^=]*)=", 1)), F.expr("try_cast(regexp_extract(item, '=(.*)$', 1) as double)")
+    read = items.select("item", name.alias("metric"), value.alias("sigma")).join(F.broadcast(metrics.where("sigma_preview is not null").select("metric", F.lit(True).alias("judged"))), "metric", "left")
+    good = F.col("judged") & (F.col("sigma") >= 0)
+    return read.select("metric", F.when(good, F.col("sigma")).otherwise(F.raise_error(F.concat(F.lit("METRIC=SIGMA, a judged metric and a number of 0 or more; got "), F.col("item")))).alias("sigma"))

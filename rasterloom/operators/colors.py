@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import color as C
 
@@ -18,14 +21,28 @@ def with_colors(palette: DataFrame) -> DataFrame:
     return C.with_lab(palette)
 
 
+def _palette_rows(palette: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(colors, Lab rows) of a palette, in the order of its colours; its size is checked."""
+    rows = palette.select("color", "b", "g", "r").orderBy("color").limit(PALETTE_ROWS + 1).collect()
+    if len(rows) > PALETTE_ROWS:
+        raise ValueError(f"a palette has {PALETTE_ROWS} colours at most")
+    return np.array([r["color"] for r in rows], np.int64), C.lab_array(np.array([[r["b"], r["g"], r["r"]] for r in rows]).reshape(-1, 3))
+
+
 def nearest_color(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """(b, g, r, n, color, de00): every different pixel colour, how many pixels have it, and the palette colour closest by
-    CIEDE2000, the first of equals. Distances are worked out once for each colour, not for each pixel."""
+    CIEDE2000, the first of equals. Distances are worked out once for each colour, not for each pixel, in one pass over the
+    different colours with the palette at hand: a second aggregation would sort all pairs."""
+    colors, labs = _palette_rows(palette)
     few = pixels.groupBy("b", "g", "r").agg(F.count(F.lit(1)).alias("n"))
-    pal = F.broadcast(with_colors(palette).select("color", F.col("lab").alias("pal_lab")))
-    pairs = C.de00(C.with_lab(few).crossJoin(pal), "lab", "pal_lab")
-    best = pairs.groupBy("b", "g", "r", "n").agg(F.min(F.struct(F.round("de00", 9).alias("d"), "color")).alias("best"))
-    return best.select("b", "g", "r", "n", F.col("best.color").alias("color"), F.col("best.d").alias("de00"))
+
+    def run(batches):
+        for batch in batches:
+            bgr = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            row, far = C.nearest_array(C.lab_array(bgr), labs)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(colors[row].astype(np.int32)), pa.array(far)], ["b", "g", "r", "n", "color", "de00"])
+
+    return few.mapInArrow(run, StructType([*few.schema, StructField("color", IntegerType()), StructField("de00", DoubleType())])) if len(colors) else few.selectExpr("*", "cast(null as int) as color", "cast(null as double) as de00")
 
 
 def legend(pixels: DataFrame, palette: DataFrame) -> DataFrame:
@@ -87,19 +104,24 @@ def region_colors(pixels: DataFrame, own: str) -> DataFrame:
 
 
 def mean_de00(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """(image_id, pixels, de00_mean, de00_p95) of two pictures of the same size; each two colours are compared once."""
+    """(image_id, pixels, de00_mean, de00_p95) of two pictures of the same size; each two colours are compared once, and the
+    percentile is that of pairs of colours weighted by their pixels."""
     pairs = first.select(*keys, *[F.col(c).alias(f"{c}1") for c in "bgr"]).join(second.select(*keys, *[F.col(c).alias(f"{c}2") for c in "bgr"]), keys)
     few = pairs.groupBy(keys[0], *[f"{c}{i}" for i in (1, 2) for c in "bgr"]).agg(F.count(F.lit(1)).alias("n"))
-    far = C.de00(C.with_lab(C.with_lab(few, "one", "b1", "g1", "r1"), "two", "b2", "g2", "r2"), "one", "two")
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.stack([batch.column(f"{c}{i}").to_numpy(zero_copy_only=False) for c in "bgr"], axis=1) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n"), pa.array(C.de00_array(C.lab_array(one), C.lab_array(two)))], [keys[0], "n", "de00"])
+
+    far = few.mapInArrow(run, few.select(keys[0], "n").schema.add("de00", "double"))
     return far.groupBy(keys[0]).agg(F.sum("n").alias("pixels"), F.round(F.sum(F.col("de00") * F.col("n")) / F.sum("n"), 6).alias("de00_mean"), F.round(F.percentile("de00", F.lit(0.95), F.col("n")), 6).alias("de00_p95"))
 
 
 def flat_color_match(flats: DataFrame, palette: DataFrame) -> DataFrame:
-    """(de00_mean, de00_max): how far the flat colours of a picture are from the closest colours of its legend."""
-    one = C.with_lab(flats.select("flat", "b", "g", "r"), "one").select("flat", "one")
-    pairs = C.de00(one.crossJoin(F.broadcast(with_colors(palette).select(F.col("lab").alias("two")))), "one", "two")
-    nearest = pairs.groupBy("flat").agg(F.min("de00").alias("d"))
-    return nearest.agg(F.round(F.avg("d"), 6).alias("de00_mean"), F.round(F.max("d"), 6).alias("de00_max"))
+    """(flats, de00_mean, de00_max): how far the different flat colours (b, g, r) of a picture are from the closest colours of its legend."""
+    nearest = nearest_color(flats, palette)
+    return nearest.agg(F.count(F.lit(1)).alias("flats"), F.round(F.avg("de00"), 6).alias("de00_mean"), F.round(F.max("de00"), 6).alias("de00_max"))
 
 
 def swatches(palette: DataFrame, per_row: int = 5, swatch_mm: float = 12.0, gap_mm: float = 3.0) -> DataFrame:

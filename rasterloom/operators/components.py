@@ -3,6 +3,11 @@ run number spreads with pointer jumping. Works for pictures that no single task
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +17,19 @@ ROUNDS = 64
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; where it names none, the plan is kept as it is and cached."""
+    """Cuts lineage in the folder that spark.checkpoint.dir names; a session in one process that names none (local tests) gets
+    one of its own, on a cluster that is an error."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not context.getCheckpointDir():
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="rasterloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return df.checkpoint()
 
 
 def _jumped(labels: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -65,8 +78,8 @@ def numbered_regions(px: DataFrame, colors: int, value: str = "label") -> DataFr
     """(image_id, x, y, region_id): 8-connected regions, numbered by colour and then by the first block of 2 x 2 pixels, in raster
     order of blocks, that they touch; labels from `colors` on are ink, -1."""
     found = label_components(px, value, True)
-    width = F.floor((F.max("x").over(Window.partitionBy("image_id")) + 2) / 2)
-    first = found.withColumn("block", F.floor(F.col("y") / 2) * width + F.floor(F.col("x") / 2))
+    widths = found.groupBy("image_id").agg(F.floor((F.max("x") + 2) / 2).alias("width"))
+    first = found.join(widths, "image_id").withColumn("block", F.floor(F.col("y") / 2) * F.col("width") + F.floor(F.col("x") / 2))
     order = first.where(F.col("value") < colors).groupBy("image_id", "component", "value").agg(F.min("block").alias("block"))
     ranked = order.withColumn("region_id", F.row_number().over(Window.partitionBy("image_id").orderBy("value", "block", "component")) - 1)
     return found.join(ranked.select("image_id", "component", "region_id"), ["image_id", "component"], "left").select("image_id", "x", "y", F.coalesce("region_id", F.lit(-1)).alias("region_id"))

@@ -71,17 +71,26 @@ def _compact(ids: np.ndarray, colors: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return to[ids], colors[used]
 
 
-def merge_small(ids: np.ndarray, colors: np.ndarray, least: int, corners: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def merge_small(ids: np.ndarray, colors: np.ndarray, least: int, corners: bool = True, heavy: np.ndarray | None = None, sizes: np.ndarray | None = None, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Regions below `least` pixels join a neighbour, the smallest first and the lowest of equals; the neighbour is the one that
-    owns most of the pixels around, the lowest of equals. One without a neighbour stays."""
+    owns most of the pixels around, the lowest of equals. One without a neighbour stays. A pixel counts as often as `heavy`
+    says; `sizes` replaces the counted sizes. With `keep` regions keep their numbers."""
     h, w = ids.shape
     owner = ids.ravel().copy()
-    pixels = {r: np.flatnonzero(owner == r) for r in np.unique(owner[owner >= 0]).tolist()}
-    heap = [(len(p), r) for r, p in pixels.items() if len(p) < least]
+    order = np.argsort(owner, kind="stable")
+    names, first = np.unique(owner[order], return_index=True)
+    pixels = {int(r): p for r, p in zip(names, np.split(order, first[1:]), strict=True) if r >= 0}
+    if sizes is not None:
+        size = {r: int(sizes[r]) for r in pixels}
+    elif heavy is None:
+        size = {r: len(p) for r, p in pixels.items()}
+    else:
+        size = {r: int(heavy.ravel()[p].sum()) for r, p in pixels.items()}
+    heap = [(n, r) for r, n in size.items() if n < least]
     heapq.heapify(heap)
     while heap:
-        size, r = heapq.heappop(heap)
-        if r not in pixels or len(pixels[r]) != size:
+        n, r = heapq.heappop(heap)
+        if r not in pixels or size[r] != n:
             continue
         y, x = np.divmod(pixels[r], w)
         ring = []
@@ -92,17 +101,18 @@ def merge_small(ids: np.ndarray, colors: np.ndarray, least: int, corners: bool =
         around = around[(around >= 0) & (around != r)]
         if not len(around):
             continue
-        names, counts = np.unique(around, return_counts=True)
-        to = int(names[np.argmax(counts)])
+        found, counts = np.unique(around, return_counts=True)
+        to = int(found[np.argmax(counts)])
         owner[pixels[r]] = to
         pixels[to] = np.concatenate([pixels[to], pixels.pop(r)])
-        if len(pixels[to]) < least:
-            heapq.heappush(heap, (len(pixels[to]), to))
-    return _compact(owner.reshape(h, w), colors)
+        size[to] += size.pop(r)
+        if size[to] < least:
+            heapq.heappush(heap, (size[to], to))
+    return (owner.reshape(h, w), colors) if keep else _compact(owner.reshape(h, w), colors)
 
 
-def merge_same_color(ids: np.ndarray, colors: np.ndarray, corners: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Touching regions of one colour become one, with the lowest number."""
+def merge_same_color(ids: np.ndarray, colors: np.ndarray, corners: bool = True, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Touching regions of one colour become one, with the lowest number; with `keep` regions keep their numbers."""
     label = np.arange(len(colors))
     for dy, dx in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if corners else []):
         other = shifted(ids, dy, dx, -1)
@@ -116,7 +126,8 @@ def merge_same_color(ids: np.ndarray, colors: np.ndarray, corners: bool = True)
             label[max(a, b)] = min(a, b)
     while not np.array_equal(up := label[label], label):
         label = up
-    return _compact(np.where(ids >= 0, label[ids], -1), colors)
+    joined = np.where(ids >= 0, label[ids], -1)
+    return (joined, colors) if keep else _compact(joined, colors)
 
 
 def build_regions(labels: np.ndarray, colors: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,48 +159,27 @@ def squared_distance(inside: np.ndarray) -> np.ndarray:
     return out[1:-1, 1:-1]
 
 
-def brush_fits(ids: np.ndarray, radius: float) -> np.ndarray:
-    """Pixels where a brush of that radius stays in its region: no pixel of another one, nor the outside, is that near."""
-    out = np.zeros(ids.shape, bool)
-    for r in np.unique(ids[ids >= 0]).tolist():
-        y, x = np.nonzero(ids == r)
-        box = (slice(y.min(), y.max() + 1), slice(x.min(), x.max() + 1))
-        own = ids[box] == r
-        out[box] |= own & (squared_distance(own) > radius * radius)
-    return out
-
-
-def slivers(ids: np.ndarray, radius: float) -> np.ndarray:
-    """Pixels of regions that no brush inside their region reaches."""
-    out = np.zeros(ids.shape, bool)
-    for r in np.unique(ids[ids >= 0]).tolist():
-        y, x = np.nonzero(ids == r)
-        box = (slice(y.min(), y.max() + 1), slice(x.min(), x.max() + 1))
-        own = ids[box] == r
-        middles = own & (squared_distance(own) > radius * radius)
-        out[box] |= own & ~_near(middles, radius)
-    return out
-
-
-def _near(mask: np.ndarray, radius: float) -> np.ndarray:
-    """Pixels within a distance of a mask."""
-    out, n = np.zeros_like(mask), int(radius)
-    for dy in range(-n, n + 1):
-        for dx in range(-n, n + 1):
-            if dy * dy + dx * dx <= radius * radius:
-                out |= shifted(mask, dy, dx, False)
-    return out
+def region_boxes(ids: np.ndarray) -> list[tuple[int, slice, slice]]:
+    """(region, rows, columns) of the box of each region, from one pass over the picture."""
+    y, x = np.nonzero(ids >= 0)
+    names, at = np.unique(ids[y, x], return_inverse=True)
+    low, high = np.full((len(names), 2), max(ids.shape)), np.full((len(names), 2), -1)
+    for k, v in enumerate((y, x)):
+        np.minimum.at(low[:, k], at, v)
+        np.maximum.at(high[:, k], at, v)
+    return [(int(r), slice(a, c + 1), slice(b, d + 1)) for r, (a, b), (c, d) in zip(names, low.tolist(), high.tolist(), strict=True)]
 
 
-def middles(ids: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-    """(region, x, y, radius, area): the pixel of each region that is farthest from its edge, the first in reading order."""
+def middles(ids: np.ndarray, printed: np.ndarray | None = None) -> list[tuple[int, int, int, float, int]]:
+    """(region, x, y, radius, area): the pixel of each region that is farthest from its edge, the first in reading order; printed
+    pixels are edge too."""
     out = []
-    for r in np.unique(ids[ids >= 0]).tolist():
-        y, x = np.nonzero(ids == r)
-        box = (slice(y.min(), y.max() + 1), slice(x.min(), x.max() + 1))
-        room = squared_distance(ids[box] == r)
-        best = np.unravel_index(np.argmax(room), room.shape)
-        out.append((r, int(best[1] + x.min()), int(best[0] + y.min()), float(np.sqrt(room[best])), len(y)))
+    for r, rows, columns in region_boxes(ids):
+        own = ids[rows, columns] == r
+        free = own if printed is None or not (own & ~printed[rows, columns]).any() else own & ~printed[rows, columns]
+        room = squared_distance(free)
+        at = np.unravel_index(np.argmax(room), room.shape)
+        out.append((r, int(at[1]) + columns.start, int(at[0]) + rows.start, float(np.sqrt(room[at])), int(own.sum())))
     return out
 
 

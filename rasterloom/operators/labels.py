@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import paper_under, tint
 from .boxes import pixels_in_boxes
+from .pictures import _grid, _kind, planes
+from .regions import slivers
+from .scores import grouped_windows, kept_boxes
+from .settle import edge_vote as vote
 
 
 def label_coverage(regions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -42,21 +48,44 @@ def share_in_boxes(px: DataFrame, boxes: DataFrame, mark: str) -> DataFrame:
     return whole.join(each.groupBy("image_id").agg(F.round(F.max("share"), 6).alias("worst")), "image_id")
 
 
-def tube_regions(px: DataFrame, ink: str) -> DataFrame:
-    """(image_id, tubes, ink_in_regions): regions that are ink to a half or more, and the share of all ink that regions hold."""
+def unlabeled_figures(regions: DataFrame, labels: DataFrame, pixels: int) -> DataFrame:
+    """(image_id, unlabeled, area_share): regions without a number, and their share of a page of so many pixels."""
+    named = labels.select("image_id", "region_id").distinct().withColumn("hit", F.lit(1))
+    both = regions.join(named, ["image_id", "region_id"], "left")
+    return both.groupBy("image_id").agg(F.count_if(F.col("hit").isNull()).alias("unlabeled"), F.round(F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("area"))), F.lit(0)) / pixels, 6).alias("area_share"))
+
+
+def tube_regions(px: DataFrame, ink: str, radius: float) -> DataFrame:
+    """(image_id, tubes, thin_ink): regions that are ink to a half or more, and the share of all ink that lies in parts of regions no
+    brush of that radius reaches; null without ink."""
     hit = F.expr(ink)
-    sums = px.groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("inked"))
-    return sums.groupBy("image_id").agg(F.count_if((F.col("region_id") >= 0) & (F.col("inked") * 2 >= F.col("n"))).alias("tubes"), F.round(F.sum(F.when(F.col("region_id") >= 0, F.col("inked")).otherwise(0)) / F.nullif(F.sum("inked"), F.lit(0)), 6).alias("ink_in_regions"))
+    sums = px.where("region_id >= 0").groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("inked"))
+    tubes = sums.groupBy("image_id").agg(F.count_if(F.col("inked") * 2 >= F.col("n")).alias("tubes"))
+    thin = px.where(hit).select("image_id", "x", "y").join(slivers(px, radius), ["image_id", "x", "y"], "left")
+    return tubes.join(thin.groupBy("image_id").agg(F.round(F.avg(F.coalesce("sliver", F.lit(False)).cast("double")), 6).alias("thin_ink")), "image_id", "left")
+
+
+def suppressed(boxes: DataFrame, most: float = 0.3, least: float = 0.0) -> DataFrame:
+    """Boxes (image_id, box_id, x, y, w, h, score) that stay when the best of those left drops all that it overlaps by more than `most`
+    of their union, again and again; equal scores go by id. A picture to a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("box_id", kind="stable").reset_index(drop=True)
+        return rows.loc[kept_boxes(rows[["x", "y", "w", "h"]].to_numpy(np.float64), rows["score"].to_numpy(np.float64), most, least)]
 
+    some = boxes.select("image_id", "box_id", "x", "y", "w", "h", "score")
+    return some.groupBy("image_id").applyInPandas(run, some.schema)
 
-def suppressed(boxes: DataFrame, overlapping: DataFrame) -> DataFrame:
-    """Boxes (image_id, box_id, score) that no better one overlaps too much: the pairs (image_id, a, b) are those that do. A box is
-    dropped if a box of a higher score, or of the same and a lower id, is in a pair with it."""
-    score = boxes.select("image_id", F.col("box_id").alias("o"), F.col("score").alias("other"))
-    each = overlapping.select("image_id", F.col("a").alias("box_id"), F.col("b").alias("o")).union(overlapping.select("image_id", "b", "a"))
-    beaten = each.join(boxes.select("image_id", "box_id", "score"), ["image_id", "box_id"]).join(score, ["image_id", "o"])
-    beaten = beaten.where((F.col("other") > F.col("score")) | ((F.col("other") == F.col("score")) & (F.col("o") < F.col("box_id"))))
-    return boxes.join(beaten.select("image_id", "box_id").distinct(), ["image_id", "box_id"], "left_anti")
+
+def window_groups(windows: DataFrame, least: int, slack: float = 0.2) -> DataFrame:
+    """(image_id, x, y, w, h, windows): the mean boxes of groups of more than `least` detection windows (image_id, x, y, w, h) that lie
+    within `slack` of their size of each other. A picture to a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = grouped_windows(rows.sort_values(["x", "y", "w", "h"])[["x", "y", "w", "h"]].to_numpy(), least, slack)
+        return pd.DataFrame([(rows["image_id"].iloc[0], *box, n) for box, n in found], columns=["image_id", "x", "y", "w", "h", "windows"])
+
+    return windows.select("image_id", "x", "y", "w", "h").groupBy("image_id").applyInPandas(run, f"image_id {_kind(windows)}, x int, y int, w int, h int, windows int")
 
 
 def equalized(px: DataFrame, value: str) -> DataFrame:
@@ -75,14 +104,20 @@ def page_pixels(px: DataFrame, coverage: str, ink_gray: int = 0x59) -> DataFrame
     return px.select("image_id", "x", "y", gray.alias("paper"), wash("b"), wash("g"), wash("r"))
 
 
-def edge_vote(px: DataFrame, radius: int, sigma: float, step: float, distance: DataFrame) -> DataFrame:
-    """(image_id, x, y, label): each pixel takes the label with the largest Gaussian share of its surroundings times exp(-distance of
-    the pixel's own label's colour to it / step); its own wins ties, then the lowest. distance (label, other, far) has a row for each two
-    labels of a palette. Pixels send their label to all in reach, and votes meet by pixel and label before they are compared."""
-    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.exp(F.lit(-(i * i + j * j) / (2 * sigma * sigma))).alias("w")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    sent = px.withColumn("t", F.explode(taps)).select("image_id", (F.col("x") + F.col("t.i")).alias("x"), (F.col("y") + F.col("t.j")).alias("y"), F.col("label").alias("other"), F.col("t.w").alias("w"))
-    votes = sent.groupBy("image_id", "x", "y", "other").agg(F.sum("w").alias("w"))
-    own = px.select("image_id", "x", "y", "label")
-    scored = votes.join(own, ["image_id", "x", "y"]).join(F.broadcast(distance), ["label", "other"]).withColumn("score", F.round(F.col("w") * F.exp(-F.col("far") / step), 9))
-    best = scored.groupBy("image_id", "x", "y").agg(F.max(F.struct("score", (F.col("label") == F.col("other")).alias("own"), (-F.col("other")).alias("low"))).alias("best"))
-    return best.select("image_id", "x", "y", (-F.col("best.low")).cast("int").alias("label"))
+def completed(px: DataFrame, coverage: str, ink_gray: int = 0) -> DataFrame:
+    """(image_id, x, y, b, g, r): paint with the picture's ink of a coverage (0 to 255) laid over it."""
+    laid = lambda c: F.rint(F.col(c) + (ink_gray - F.col(c)) * (F.expr(coverage) / 255)).cast("int").alias(c)
+    return px.select("image_id", "x", "y", *map(laid, "bgr"))
+
+
+def edge_vote(px: DataFrame, palette: list[tuple[int, int, int]], sigma: float, step: float) -> DataFrame:
+    """(image_id, x, y, label): labels (-1 for none) of pictures (image_id, x, y, label, b, g, r) after one vote on their edges, told by
+    each pixel's own colour. A picture to a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        labels = _grid(rows, "label", -1)
+        out = vote(planes(rows), labels, np.array(palette), sigma, step)
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "x": x, "y": y, "label": out[y, x].astype(np.int32)})
+
+    return px.select("image_id", "x", "y", "label", "b", "g", "r").groupBy("image_id").applyInPandas(run, f"image_id {_kind(px)}, x int, y int, label int")

@@ -16,6 +16,11 @@ def _grid(rows: pd.DataFrame, value: str, fill: int) -> np.ndarray:
     return out
 
 
+def planes(rows: pd.DataFrame) -> np.ndarray:
+    """A picture as height x width x 3, blue first; pixels it lacks are white."""
+    return np.stack([_grid(rows, c, 255) for c in "bgr"], axis=2).astype(np.uint8)
+
+
 def _pixels(image, ids: np.ndarray, **values) -> pd.DataFrame:
     y, x = np.nonzero(ids >= 0)
     return pd.DataFrame({"image_id": image, "x": x.astype(np.int32), "y": y.astype(np.int32)} | {k: v[y, x] for k, v in values.items()})
@@ -45,9 +50,11 @@ def region_middles(px: DataFrame) -> DataFrame:
 def sliver_share(px: DataFrame, radius: float) -> DataFrame:
     """(image_id, pixels, slivers, share): pixels of regions that a brush of that radius does not reach."""
 
+    from .brush import slivers
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = _grid(rows, "region_id", -1)
-        n, thin = int((ids >= 0).sum()), int(K.slivers(ids, radius).sum())
+        n, thin = int((ids >= 0).sum()), int(slivers(ids, radius).sum())
         return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "pixels": [n], "slivers": [thin], "share": [thin / n if n else None]})
 
     return px.select("image_id", "x", "y", "region_id").groupBy("image_id").applyInPandas(run, f"image_id {_kind(px)}, pixels long, slivers long, share double")
@@ -62,8 +69,8 @@ def png_files(px: DataFrame) -> DataFrame:
     """(image_id, width, height, png binary): pictures as PNG files; pixels they lack are white."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        planes = np.stack([_grid(rows, c, 255) for c in "bgr"], axis=2).astype(np.uint8)
-        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "width": [planes.shape[1]], "height": [planes.shape[0]], "png": [K.png(planes)]})
+        bgr = planes(rows)
+        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "width": [bgr.shape[1]], "height": [bgr.shape[0]], "png": [K.png(bgr)]})
 
     return px.select("image_id", "x", "y", "b", "g", "r").groupBy("image_id").applyInPandas(run, f"image_id {_kind(px)}, width int, height int, png binary")
 

@@ -163,9 +163,10 @@ def claim_walls(px: DataFrame, ink: str) -> DataFrame:
     return both.select("image_id", F.when(first, F.col("x")).otherwise(F.col("x") + F.col("dx")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("y") + F.col("dy")).alias("y")).distinct()
 
 
-def settle_gaps(px: DataFrame, piece: str, claim: str) -> DataFrame:
-    """(image_id, piece, claim, pixels): each piece goes to the claim with most of its pixels, the lowest of equals."""
-    votes = px.groupBy("image_id", F.expr(piece).alias("piece"), F.expr(claim).alias("claim")).agg(F.count(F.lit(1)).alias("pixels"))
+def settle_gaps(px: DataFrame, piece: str, claim: str, paintable: str = "false") -> DataFrame:
+    """(image_id, piece, claim, pixels): each piece that is not paintable goes to the claim (0 and up) most of its claimed pixels have,
+    the lowest of equals. Pixels without a claim have no vote and stay without one."""
+    votes = px.where(f"not ({paintable}) and ({claim}) >= 0 and ({piece}) >= 0").groupBy("image_id", F.expr(piece).alias("piece"), F.expr(claim).alias("claim")).agg(F.count(F.lit(1)).alias("pixels"))
     best = votes.groupBy("image_id", "piece").agg(F.min(F.struct((-F.col("pixels")).alias("p"), "claim")).alias("best"))
     return best.select("image_id", "piece", F.col("best.claim").alias("claim"), (-F.col("best.p")).alias("pixels"))
 
@@ -204,6 +205,35 @@ def undersized(px: DataFrame, least: int) -> DataFrame:
     return found.groupBy("image_id").agg(F.count_if((F.col("area") < least) & F.col("touched")).alias("undersized"))
 
 
+def paint_gaps(px: DataFrame, white: str) -> DataFrame:
+    """(image_id, x, y): the first of two pixels side by side that are both white and in different regions: where paint would run
+    together."""
+    both = pairs(px.withColumn("both", F.struct("region_id", F.expr(white).alias("white"))), "both", corners=False)
+    return both.where("a.white and b.white and a.region_id <> b.region_id").select("image_id", "x", "y").distinct()
+
+
+def slivers(px: DataFrame, radius: float) -> DataFrame:
+    """(image_id, x, y, sliver): pixels of regions, and whether no brush of that radius inside their region reaches them. A picture to
+    a task."""
+    import numpy as np
+    import pandas as pd
+
+    from .brush import slivers as kernel
+    from .pictures import _grid, _kind
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = _grid(rows, "region_id", -1)
+        y, x = np.nonzero(ids >= 0)
+        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "x": x.astype(np.int32), "y": y.astype(np.int32), "sliver": kernel(ids, radius)[y, x]})
+
+    return px.select("image_id", "x", "y", "region_id").groupBy("image_id").applyInPandas(run, f"image_id {_kind(px)}, x int, y int, sliver boolean")
+
+
+def compactness_stats(px: DataFrame) -> DataFrame:
+    """(image_id, median, p10) of the regions' compactness."""
+    return compactness(px).groupBy("image_id").agg(F.round(F.percentile("compactness", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("compactness", F.lit(0.1)), 6).alias("p10"))
+
+
 def paper_rings(px: DataFrame, paper: str, piece: str) -> DataFrame:
     """(image_id, piece, least, most): smallest and largest region around each piece of paper."""
     both = pairs(px.withColumn("both", F.struct("region_id", F.expr(piece).alias("piece"), F.expr(paper).alias("paper"))), "both")

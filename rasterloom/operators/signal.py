@@ -2,74 +2,68 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.color import luma
-
-
-def gaussian(radius: int, sigma: float) -> list[float]:
-    raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    return [v / sum(raw) for v in raw]
-
+from .pictures import _grid, _kind
+from .scores import normalized_text as plain_text
+from .scores import ssim_map
 
-def blurred(px: DataFrame, columns: list[str], radius: int = 5, sigma: float = 1.5) -> DataFrame:
-    """Gaussian means of columns, along rows and then along columns; at the edge the weights inside the picture count."""
-    taps = gaussian(radius, sigma)
-    for line, at in ((["image_id", "y"], "x"), (["image_id", "x"], "y")):
-        order = Window.partitionBy(*line).orderBy(at)
 
-        def tap(value, k, order=order, at=at):
-            there, by = (F.lead, k) if k >= 0 else (F.lag, -k)
-            return F.when(there(F.col(at), by).over(order) == F.col(at) + k, there(value, by).over(order))
+def ssim(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(image_id, ssim): mean structural similarity of the luma of two pictures of one size, from 11 x 11 windows; beyond their edge
+    pictures go on mirrored. A picture to a task."""
+    one = first.select("image_id", "x", "y", *[F.col(c).alias(f"{c}1") for c in "bgr"])
+    both = one.join(second.select("image_id", "x", "y", *[F.col(c).alias(f"{c}2") for c in "bgr"]), ["image_id", "x", "y"])
 
-        total = sum((F.when(tap(F.lit(1.0), k).isNotNull(), w).otherwise(0.0) for k, w in zip(range(-radius, radius + 1), taps, strict=True)), F.lit(0.0))
-        px = px.withColumns({c: sum((F.coalesce(tap(F.col(c), k), F.lit(0.0)) * w for k, w in zip(range(-radius, radius + 1), taps, strict=True)), F.lit(0.0)) / total for c in columns})
-    return px
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = (np.stack([_grid(rows, f"{c}{i}", 255) for c in "bgr"], axis=2) for i in (1, 2))
+        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "ssim": [round(float(ssim_map(p, q).mean()), 6)]})
 
-
-def ssim(first: DataFrame, second: DataFrame, radius: int = 5, sigma: float = 1.5) -> DataFrame:
-    """(image_id, ssim): mean structural similarity of the luma of two pictures of one size."""
-    one = first.select("image_id", "x", "y", luma(F.col("b"), F.col("g"), F.col("r")).alias("p"))
-    two = second.select("image_id", "x", "y", luma(F.col("b"), F.col("g"), F.col("r")).alias("q"))
-    both = one.join(two, ["image_id", "x", "y"]).withColumns({"pp": F.col("p") * F.col("p"), "qq": F.col("q") * F.col("q"), "pq": F.col("p") * F.col("q")})
-    m = blurred(both, ["p", "q", "pp", "qq", "pq"], radius, sigma)
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    p, q = F.col("p"), F.col("q")
-    value = (2 * p * q + c1) * (2 * (F.col("pq") - p * q) + c2) / ((p * p + q * q + c1) * (F.col("pp") - p * p + F.col("qq") - q * q + c2))
-    return m.groupBy("image_id").agg(F.round(F.avg(value), 6).alias("ssim"))
+    return both.groupBy("image_id").applyInPandas(run, f"image_id {_kind(first)}, ssim double")
 
 
 def otsu_contrast(values: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, contrast): distance between the means of the two classes of Otsu's best split, the first of equals; 0 for fewer
-    than two values. Equal values are counted first, so a window has the different values of a group only."""
-    few = values.groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group)
-    sums = few.withColumns({"below": F.sum("n").over(ahead), "sum": F.sum(F.col("v") * F.col("n")).over(ahead), "count": F.sum("n").over(whole), "total": F.sum(F.col("v") * F.col("n")).over(whole)})
-    lower, upper, share = F.col("sum") / F.col("below"), (F.col("total") - F.col("sum")) / (F.col("count") - F.col("below")), F.col("below") / F.col("count")
-    split = sums.where("below < count").select(group, (share * (1 - share) * (lower - upper) * (lower - upper)).alias("spread"), "below", (upper - lower).alias("contrast"))
-    best = split.groupBy(group).agg(F.max(F.struct("spread", (-F.col("below")).alias("b"), "contrast")).alias("best"))
-    return few.select(group).distinct().join(best, group, "left").select(group, F.round(F.coalesce("best.contrast", F.lit(0.0)), 6).alias("contrast"))
-
-
-def tones(values: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, dark, light): 2nd and 98th percentile."""
-    return values.groupBy(group).agg(F.round(F.percentile(value, F.lit(0.02)), 6).alias("dark"), F.round(F.percentile(value, F.lit(0.98)), 6).alias("light"))
-
-
-def normalized_text(text):
-    """Text for comparison: typographic signs as ASCII, blanks collapsed."""
-    plain = F.translate(text, "‘’“”–—…", "''\"\"--.")
-    return F.trim(F.regexp_replace(plain, "[ \t\r\n]+", " "))
+    """(group, contrast): distance between the means of the two classes that a threshold parts a group into with the largest
+    variance between them, the lowest threshold of equals; 0 for fewer than two values. Equal values are counted first, so a
+    window has the different values of a group only.
+
+    With n of N values and s of their sum S below a threshold the means are (n S - N s) / (n (N - n)) apart, and the variance
+    between the classes goes with the square of that times n (N - n).
+    """
+    bins = values.groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("held"))
+    upto = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    moments = bins.groupBy(group).agg(F.sum("held").alias("all"), F.sum(F.col("v") * F.col("held")).alias("sum"))
+    cuts = bins.withColumns({"n": F.sum("held").over(upto), "s": F.sum(F.col("v") * F.col("held")).over(upto)}).join(moments, group).where("n < all")
+    weight = F.col("n") * (F.col("all") - F.col("n"))
+    gap = (F.col("n") * F.col("sum") - F.col("all") * F.col("s")) / weight
+    rated = cuts.select(group, gap.alias("gap"), (gap * gap * weight).alias("between"), "v")
+    best = rated.groupBy(group).agg(F.max_by("gap", F.struct("between", (-F.col("v")).alias("low"))).alias("gap"))
+    return moments.select(group).join(best, group, "left").select(group, F.round(F.coalesce("gap", F.lit(0.0)), 6).alias("contrast"))
+
+
+def tones(values: DataFrame, group: str, value: str, least: float = 20.0) -> DataFrame:
+    """(group, dark, light): 2nd and 98th percentile; null where the two classes of the values are less than `least` apart, or the
+    percentiles are equal."""
+    ends = values.groupBy(group).agg(F.percentile(value, F.lit(0.02)).alias("dark"), F.percentile(value, F.lit(0.98)).alias("light"))
+    both = ends.join(otsu_contrast(values, group, value), group)
+    kept = (F.col("contrast") >= least) & (F.col("light") > F.col("dark"))
+    return both.select(group, F.when(kept, F.round("dark", 6)).alias("dark"), F.when(kept, F.round("light", 6)).alias("light"))
+
+
+@F.pandas_udf(StringType())
+def normalized_text(text: pd.Series) -> pd.Series:
+    """Text for comparison: compatibility forms made plain (NFKC), typographic signs as ASCII, blanks collapsed."""
+    return text.map(plain_text, na_action="ignore")
 
 
 def character_errors(pairs: DataFrame) -> DataFrame:
-    """(block, errors, length): edit distance of what was read to what is there. pairs (block, truth, read)."""
-    truth, read = normalized_text(F.col("truth")), normalized_text(F.col("read"))
-    return pairs.select("block", F.levenshtein(truth, read).alias("errors"), F.length(truth).alias("length"))
+    """(block, errors, length): edit distance of what was read to what is there, whole texts. pairs (block, truth, read)."""
+    both = pairs.select("block", normalized_text("truth").alias("truth"), normalized_text("read").alias("read"))
+    return both.select("block", F.levenshtein("truth", "read").alias("errors"), F.length("truth").alias("length"))
 
 
 def character_error_rate(pairs: DataFrame) -> DataFrame:
@@ -77,6 +71,17 @@ def character_error_rate(pairs: DataFrame) -> DataFrame:
     return character_errors(pairs).agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum("errors") / F.nullif(F.sum("length"), F.lit(0)), 6).alias("cer"))
 
 
+def scaled_up(px: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """Pictures at another size, each pixel the one of the source that its middle falls in; a source pixel is sent to all of its own."""
+    def spread(df, at, n, to):
+        first = F.ceil(F.col(at) * to / n - 0.5)
+        last = F.ceil((F.col(at) + 1) * to / n - 0.5) - 1
+        df = df.where(first <= last).withColumn("t", F.explode(F.sequence(first, last)))
+        return df.withColumn(at, F.col("t").cast("int")).drop("t")
+
+    return spread(spread(px, "x", width, to_width), "y", height, to_height)
+
+
 def ring_measures(rings: DataFrame) -> DataFrame:
     """(ring_id, area, length): signed shoelace area and length of closed rings. rings (ring_id, pts array of struct<x, y>)."""
     following = F.concat(F.slice("pts", F.lit(2), F.size("pts") - 1), F.slice("pts", 1, 1))

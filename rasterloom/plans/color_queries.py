@@ -19,12 +19,7 @@ _HIST = f"""few AS (SELECT b, g, r, count(*) AS n FROM mosaic GROUP BY 1, 2, 3),
 hist AS (SELECT CAST(floor(round(L_, 9) / 4) AS INTEGER) AS l, CAST(floor(round(A_, 9) / 4) AS INTEGER) AS a, CAST(floor(round(B_, 9) / 4) AS INTEGER) AS b, sum(n) AS n, round(sum(L_ * n) / sum(n), 6) AS L_mean FROM fewl GROUP BY 1, 2, 3)"""
 
 
-def _flats(spark, sf):
-    return X.mosaic(spark, sf).where("x % 40 = 0 and y % 40 = 0").select((F.col("y") * 1000 + F.col("x")).alias("flat"), "b", "g", "r")
-
-
-def _quantised(spark, sf):
-    px = X.mosaic(spark, sf)
+def _quantised(px):
     level = lambda c: (F.floor(F.col(c) / 64) * 64 + 32).cast("int").alias(c)
     return px.select("image_id", "x", "y", level("b"), level("g"), level("r"))
 
@@ -38,8 +33,8 @@ QUERIES = {
     "crowd27": lambda s, d: K.neighborhood(K.color_histogram(X.mosaic(s, d))),
     "ink_mixes": lambda s, d: K.ink_mixes(X.palette16(s)),
     "region_colors": lambda s, d: K.region_colors(X.mosaic_regions(s, d), "(x + y) % 3 = 0 and label <> 2"),
-    "fidelity": lambda s, d: K.mean_de00(X.mosaic(s, d), _quantised(s, d), ["image_id", "x", "y"]),
-    "flat_color_match": lambda s, d: K.flat_color_match(_flats(s, d), X.palette16(s)),
+    "fidelity": lambda s, d: K.mean_de00(X.mosaic(s, d), _quantised(X.mosaic(s, d)), ["image_id", "x", "y"]),
+    "flat_color_match": lambda s, d: K.flat_color_match(X.mosaic(s, d), X.palette16(s)),
     "legend_layout": lambda s, d: K.swatches(X.palette16(s)),
     "ink_gray": lambda s, d: K.ink_gray(X.supplier_raster(s, d), "b < 100"),
 }
@@ -64,9 +59,7 @@ ORACLE = {
       ml AS (SELECT *, {sql_lab('mosaic')} FROM mosaic), ql AS (SELECT *, {sql_lab('q')} FROM q)
       SELECT image_id, count(*) AS pixels, round(avg(de00), 6) AS de00_mean, round(quantile_cont(de00, 0.95), 6) AS de00_p95 FROM {sql_de00(
         '(SELECT ml.image_id, ml.L_ AS l1, ml.A_ AS a1, ml.B_ AS b1, ql.L_ AS l2, ql.A_ AS a2, ql.B_ AS b2 FROM ml JOIN ql USING (image_id, x, y))', 'image_id')} GROUP BY 1""",
-    "flat_color_match": f"""WITH {X.MOSAIC}, {X.PALETTE}, f AS (SELECT y * 1000 + x AS flat, b, g, r FROM mosaic WHERE x % 40 = 0 AND y % 40 = 0), fl AS (SELECT *, {sql_lab('f')} FROM f), pall AS (SELECT *, {sql_lab('pal')} FROM pal)
-      SELECT round(avg(d), 6) AS de00_mean, round(max(d), 6) AS de00_max FROM (SELECT flat, min(de00) AS d FROM {sql_de00(
-        '(SELECT flat, fl.L_ AS l1, fl.A_ AS a1, fl.B_ AS b1, pall.L_ AS l2, pall.A_ AS a2, pall.B_ AS b2 FROM fl CROSS JOIN pall)', 'flat')} GROUP BY 1)""",
+    "flat_color_match": f"WITH {X.MOSAIC}, {X.PALETTE}, {_NEAR} SELECT count(*) AS flats, round(avg(de00), 6) AS de00_mean, round(max(de00), 6) AS de00_max FROM near",
     "legend_layout": f"""WITH {X.PALETTE}, k AS (SELECT *, row_number() OVER (ORDER BY color) - 1 AS i FROM pal)
       SELECT CAST(i + 1 AS INTEGER) AS number, CAST(i // 5 AS INTEGER) AS "row", CAST(i % 5 AS INTEGER) AS col, 3::DOUBLE + i % 5 * 15::DOUBLE AS x_mm, 3::DOUBLE + i // 5 * 15::DOUBLE AS y_mm, b, g, r,
       CAST(round_even(255 - 0.4::DOUBLE * (255 - b), 0) AS INTEGER) AS tint_b, CAST(round_even(255 - 0.4::DOUBLE * (255 - g), 0) AS INTEGER) AS tint_g, CAST(round_even(255 - 0.4::DOUBLE * (255 - r), 0) AS INTEGER) AS tint_r,

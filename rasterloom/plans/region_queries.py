@@ -8,7 +8,7 @@ from ..operators import components as N
 from ..operators import regions as R
 from ..sources import fixtures as X
 
-_R = X.mosaic_regions
+_R, _A = X.mosaic_regions, X.album_regions
 #: Every two touching pixels once, by a join instead of windows.
 _PAIRS = f"""{X.REGIONS}, step AS (SELECT * FROM (VALUES (1, 0), (0, 1), (1, 1), (-1, 1)) AS s(dx, dy)),
 duo AS (SELECT p.image_id, p.x, p.y, p.region_id AS a, q.region_id AS b, p.label AS la, q.label AS lb, p.g AS ga, q.g AS gb, dx, dy
@@ -43,7 +43,10 @@ QUERIES = {
     "compactness": lambda s, d: R.compactness(_R(s, d)),
     "thin_pixels": lambda s, d: R.thin_pixels(_R(s, d), "label = 3"),
     "claim_walls": lambda s, d: R.claim_walls(_R(s, d), "g > 150"),
-    "settle_gaps": lambda s, d: R.settle_gaps(_R(s, d), "cast(floor(y / 16) * 13 + floor(x / 16) as int)", "label"),
+    "settle_gaps": lambda s, d: R.settle_gaps(_R(s, d), "cast(floor(y / 16) * 13 + floor(x / 16) as int)", "case when label = 3 then -1 else label end", "cast(floor(y / 16) * 13 + floor(x / 16) as int) % 5 = 0"),
+    "paint_gaps": lambda s, d: R.paint_gaps(_R(s, d), "g < 150"),
+    "sliver_pixels": lambda s, d: R.slivers(_A(s, d), 1.5),
+    "compactness_stats": lambda s, d: R.compactness_stats(_A(s, d)),
     "pocket_contacts": lambda s, d: R.pocket_contacts(_R(s, d), "region_id", "label = 3"),
     "regions_joined": lambda s, d: R.regions_joined(_R(s, d), _coarse(s, d)),
     "partition_identical": lambda s, d: R.same_partition(_R(s, d), _renumbered(s, d)),
@@ -51,14 +54,14 @@ QUERIES = {
     "undersized_regions": lambda s, d: R.undersized(_R(s, d), 60),
     "paper_rings": lambda s, d: R.paper_rings(_R(s, d), "label = 3", "cast(floor(y / 16) * 13 + floor(x / 16) as int)"),
     "closed_breaks": lambda s, d: R.closed_breaks(_R(s, d), "g > 170", 3),
-    "components4_small": lambda s, d: N.component_sizes(X.tile_map(s, d).where("y < 20").withColumn("label", F.floor(F.col("label") / 4).cast("int"))),
-    "components8_small": lambda s, d: N.component_sizes(X.tile_map(s, d).where("y < 20").withColumn("label", F.floor(F.col("label") / 2).cast("int")), corners=True),
+    "components4": lambda s, d: N.component_sizes(X.tile_map(s, d).withColumn("label", F.floor(F.col("label") / 4).cast("int"))),
+    "components8": lambda s, d: N.component_sizes(X.tile_map(s, d).withColumn("label", F.floor(F.col("label") / 2).cast("int")), corners=True),
 }
 
 
 def _components(divisor: int, corners: bool) -> str:
     near = "abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1" if corners else "abs(p.x - q.x) + abs(p.y - q.y) = 1"
-    return f"""WITH RECURSIVE {X.TILEMAP}, t AS (SELECT x, y, CAST(label // {divisor} AS INTEGER) AS value, CAST(y AS BIGINT) * 1048576 + x AS id FROM tile WHERE y < 20),
+    return f"""WITH RECURSIVE {X.TILEMAP}, t AS (SELECT x, y, CAST(label // {divisor} AS INTEGER) AS value, CAST(y AS BIGINT) * 1048576 + x AS id FROM tile),
       e AS (SELECT p.id AS a, q.id AS b FROM t p JOIN t q ON p.value = q.value AND p.id <> q.id AND {near}),
       reach(a, b) AS (SELECT id, id FROM t UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
       SELECT 0 AS image_id, component, value, count(*) AS area FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) JOIN t ON t.id = a GROUP BY 2, 3"""
@@ -100,7 +103,7 @@ ORACLE = {
       SELECT DISTINCT image_id, x, y, ink FROM w WHERE thin""",
     "claim_walls": f"""WITH {_PAIRS}, c AS (SELECT *, CASE WHEN (ga > 150) <> (gb > 150) THEN ga > 150 ELSE a > b END AS first FROM duo WHERE a <> b AND a >= 0 AND b >= 0)
       SELECT DISTINCT image_id, CASE WHEN first THEN x ELSE x + dx END AS x, CASE WHEN first THEN y ELSE y + dy END AS y FROM c""",
-    "settle_gaps": f"""WITH {X.REGIONS}, v AS (SELECT image_id, CAST(y // 16 * 13 + x // 16 AS INTEGER) AS piece, label AS claim, count(*) AS pixels FROM px GROUP BY 1, 2, 3)
+    "settle_gaps": f"""WITH {X.REGIONS}, v AS (SELECT image_id, CAST(y // 16 * 13 + x // 16 AS INTEGER) AS piece, label AS claim, count(*) AS pixels FROM px WHERE label <> 3 AND (y // 16 * 13 + x // 16) % 5 <> 0 GROUP BY 1, 2, 3)
       SELECT image_id, piece, claim, pixels FROM (SELECT *, row_number() OVER (PARTITION BY image_id, piece ORDER BY pixels DESC, claim) AS k FROM v) WHERE k = 1""",
     "pocket_contacts": f"""WITH {_EIGHT} SELECT image_id, region_id AS pocket, count(*) FILTER (off OR other <> region_id) AS contacts, count(*) FILTER (NOT off AND other <> region_id AND lo = 3) AS walls
       FROM around WHERE region_id >= 0 GROUP BY 1, 2""",
@@ -115,6 +118,13 @@ ORACLE = {
       seg AS (SELECT p.x, p.y, l.dx, l.dy, l.n FROM m p, (VALUES (1, 0, 3), (0, 1, 3), (1, 1, 2), (-1, 1, 2)) AS l(dx, dy, n) WHERE p.m),
       br AS (SELECT s.x, s.y, s.dx, s.dy, k FROM seg s, range(2, 5) AS r(k) JOIN m q ON q.x = s.x + k * s.dx AND q.y = s.y + k * s.dy AND q.m WHERE k <= s.n + 1)
       SELECT 0 AS image_id, x, y FROM m WHERE m UNION SELECT 0, CAST(x + i * dx AS INTEGER), CAST(y + i * dy AS INTEGER) FROM br, range(1, 4) AS t(i) WHERE i < k""",
-    "components4_small": _components(4, False),
-    "components8_small": _components(2, True),
+    "components4": _components(4, False),
+    "components8": _components(2, True),
+    "paint_gaps": f"WITH {_PAIRS} SELECT DISTINCT image_id, x, y FROM duo WHERE dx * dy = 0 AND ga < 150 AND gb < 150 AND a <> b",
+    "sliver_pixels": f"WITH {X.ALBUM_REGIONS}, {X.SLIVERS} SELECT image_id, x, y, sliver FROM sliver",
+    "compactness_stats": f"""WITH {X.ALBUM_REGIONS}, step AS (SELECT dx, dy FROM range(-1, 2) AS a(dx), range(-1, 2) AS b(dy) WHERE dx <> 0 OR dy <> 0),
+      c AS (SELECT p.image_id, p.region_id, count(*) // 8 AS area, sum(CASE WHEN q.x IS NULL OR q.region_id <> p.region_id THEN CASE WHEN dx * dy = 0 THEN 1::DOUBLE ELSE sqrt(0.5::DOUBLE) END ELSE 0 END) AS crossed
+        FROM px p CROSS JOIN step LEFT JOIN px q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy WHERE p.region_id >= 0 GROUP BY 1, 2),
+      k AS (SELECT image_id, round(least(1, 4 * pi() * area / pow(pi() / 8 * crossed, 2)), 6) AS v FROM c)
+      SELECT image_id, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.1), 6) AS p10 FROM k GROUP BY 1""",
 }

@@ -23,6 +23,24 @@ def mosaic(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def album(spark: SparkSession, folder: str) -> DataFrame:
+    """pixel(image_id, x, y, b, g, r): pictures of 40 x 40 pixels, each of 25 embeddings as tiles; the number of pictures grows with
+    the table, not their size."""
+    px = mosaic(spark, folder)
+    tile = F.floor(F.col("y") / 8) * TILES + F.floor(F.col("x") / 8)
+    inner = tile % TILES
+    return px.select(
+        F.floor(tile / TILES).cast("int").alias("image_id"), (inner % 5 * 8 + F.col("x") % 8).cast("int").alias("x"), (F.floor(inner / 5) * 8 + F.col("y") % 8).cast("int").alias("y"), "b", "g", "r"
+    )
+
+
+def album_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """region_px(image_id, x, y, region_id, label, b, g, r): blocks of 10 x 10 pixels cut by label; label 3 is ink, without a region."""
+    px = album(spark, folder).withColumn("label", level(F.col("b")))
+    block = (F.floor(F.col("y") / 10) * 4 + F.floor(F.col("x") / 10)).cast("int")
+    return px.withColumn("region_id", F.when(F.col("label") == 3, -1).otherwise(block * 4 + F.col("label")).cast("int"))
+
+
 def level(b):
     """Label of a blue value."""
     return F.when(b < 112, 0).when(b < 128, 1).when(b < 144, 2).otherwise(3)
@@ -51,10 +69,10 @@ def supplier_raster(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """box(image_id, box_id, x, y, w, h) from the parts."""
+    """box(image_id, box_id, x, y, w, h) from the parts, 250 for each picture of the album."""
     key, size = F.col("p_partkey"), F.col("p_size")
     return table(spark, folder, "part").select(
-        F.lit(0).alias("image_id"), key.alias("box_id"), (key * 37 % 190).cast("int").alias("x"), (key * 53 % 150).cast("int").alias("y"), (1 + size % 10).cast("int").alias("w"), (1 + F.floor(size / 5)).cast("int").alias("h")
+        F.floor(key / 250).cast("int").alias("image_id"), key.alias("box_id"), (key * 37 % 36).cast("int").alias("x"), (key * 53 % 34).cast("int").alias("y"), (1 + size % 10).cast("int").alias("w"), (1 + F.floor(size / 5)).cast("int").alias("h")
     )
 
 
@@ -89,13 +107,29 @@ REGIONS = (
   SELECT *, CASE WHEN label = 3 THEN -1 ELSE (y // 16 * 13 + x // 16) * 4 + label END AS region_id
   FROM (SELECT *, CASE WHEN b < 112 THEN 0 WHEN b < 128 THEN 1 WHEN b < 144 THEN 2 ELSE 3 END AS label FROM mosaic))"""
 )
+ALBUM = (
+    MOSAIC
+    + """, album AS (
+  SELECT CAST(t // 25 AS INTEGER) AS image_id, CAST(t % 25 % 5 * 8 + x % 8 AS INTEGER) AS x, CAST(t % 25 // 5 * 8 + y % 8 AS INTEGER) AS y, b, g, r FROM (SELECT *, y // 8 * 25 + x // 8 AS t FROM mosaic))"""
+)
+ALBUM_REGIONS = (
+    ALBUM
+    + """, px AS (
+  SELECT *, CASE WHEN label = 3 THEN -1 ELSE (y // 10 * 4 + x // 10) * 4 + label END AS region_id
+  FROM (SELECT *, CASE WHEN b < 112 THEN 0 WHEN b < 128 THEN 1 WHEN b < 144 THEN 2 ELSE 3 END AS label FROM album))"""
+)
+#: Pixels that a disk of radius 1.5 inside their region does not reach, of a relation px.
+SLIVERS = """fit AS (SELECT p.image_id, p.x, p.y FROM px p JOIN px q ON q.image_id = p.image_id AND q.region_id = p.region_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1
+    WHERE p.region_id >= 0 GROUP BY 1, 2, 3 HAVING count(*) = 9),
+  reach AS (SELECT DISTINCT image_id, CAST(x + dx AS INTEGER) AS x, CAST(y + dy AS INTEGER) AS y FROM fit, range(-1, 2) AS a(dx), range(-1, 2) AS b(dy)),
+  sliver AS (SELECT p.*, reach.x IS NULL AS sliver FROM px p LEFT JOIN reach USING (image_id, x, y) WHERE region_id >= 0)"""
 TILEMAP = "tile AS (SELECT 0 AS image_id, CAST(vec_id % 25 AS INTEGER) AS x, CAST(vec_id // 25 AS INTEGER) AS y, label FROM embeddings)"
 SUPPLIERS = """supp AS (
   SELECT l_suppkey AS image_id, CAST(pos % 24 AS INTEGER) AS x, CAST(pos // 24 AS INTEGER) AS y, CAST(l_quantity AS INTEGER) * 5 AS b,
     CAST(round_even(l_discount * 100, 0) AS INTEGER) * 25 AS g, CAST(round_even(l_tax * 100, 0) AS INTEGER) * 31 AS r
   FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS pos FROM lineitem))"""
 BOXES = """box AS (
-  SELECT 0 AS image_id, p_partkey AS box_id, CAST(p_partkey * 37 % 190 AS INTEGER) AS x, CAST(p_partkey * 53 % 150 AS INTEGER) AS y,
+  SELECT CAST(p_partkey // 250 AS INTEGER) AS image_id, p_partkey AS box_id, CAST(p_partkey * 37 % 36 AS INTEGER) AS x, CAST(p_partkey * 53 % 34 AS INTEGER) AS y,
     CAST(1 + p_size % 10 AS INTEGER) AS w, CAST(1 + p_size // 5 AS INTEGER) AS h FROM part)"""
 PALETTE = """pal AS (
   SELECT CAST(4 * hue + i AS INTEGER) AS color, CASE WHEN hue < 2 THEN v ELSE v // 2 END AS b,

@@ -2,6 +2,8 @@ import json
 
 import numpy as np
 
+from rasterloom.operators import brush as B
+from rasterloom.operators import grids as G
 from rasterloom.operators import kernels as K
 from rasterloom.operators import pictures
 from rasterloom.sources import files
@@ -53,9 +55,9 @@ def test_numbers_go_by_colour_and_block():
 def test_brush_and_slivers():
     ids = np.zeros((20, 30), int)
     ids[8:10, 10:] = 1
-    fits = K.brush_fits(ids, 3)
+    fits = G.brush_fits(ids, 3)
     assert fits[4, 4] and not fits[1, 4] and not fits[8:10, 10:].any()
-    thin = K.slivers(ids, 3)
+    thin = B.slivers(ids, 3)
     assert thin[8:10, 12:].all() and not thin[4, 4]
 
 
