@@ -62,3 +62,17 @@ def problems(manifests: DataFrame) -> DataFrame:
 def chosen(manifests: DataFrame, categories: list[str]) -> DataFrame:
     """Entries that have any of some categories."""
     return manifests.where(F.arrays_overlap("categories", F.array(*map(F.lit, categories))))
+
+
+def write_params(params: DataFrame, path: str) -> None:
+    """Writes settings (id, name, value) as JSON, a document for each id."""
+    params.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("settings")).write.mode("overwrite").json(path)
+
+
+def read_params(spark: SparkSession, path: str, settings: DataFrame) -> DataFrame:
+    """(id, name, value): settings as they were written, held within their ranges; one that is not known is an error."""
+    read = spark.read.schema("id long, settings map<string, double>").option("mode", "FAILFAST").json(path).select("id", F.explode("settings").alias("name", "value"))
+    both = read.join(F.broadcast(settings), "name", "left")
+    held = F.least(F.greatest("value", "least"), "most")
+    held = F.when(F.col("least").isNull(), F.raise_error(F.concat(F.lit("no such setting: "), F.col("name")))).when(F.col("whole"), F.rint(held)).otherwise(held)
+    return both.select("id", "name", held.alias("value"))

@@ -1 +1 @@
-"""streaming of the raster analytics engine."""
+"""Pages made as requests come in."""
