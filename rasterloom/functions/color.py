@@ -134,12 +134,13 @@ def de00_array(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def nearest_array(lab_: np.ndarray, palette: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of the palette, distance to nine digits) closest by CIEDE2000 to each Lab row, the first of equals."""
+    """(row of the palette, distance) closest by CIEDE2000 to each Lab row, the first of those equal to nine digits."""
     row, far = np.zeros(len(lab_), np.int64), np.zeros(len(lab_))
     for at in range(0, len(lab_), 1 << 14):
-        d = np.round(de00_array(lab_[at : at + (1 << 14), None], palette[None]), 9)
-        row[at : at + len(d)] = d.argmin(axis=1)
-        far[at : at + len(d)] = d.min(axis=1)
+        d = de00_array(lab_[at : at + (1 << 14), None], palette[None])
+        best = np.round(d, 9).argmin(axis=1)
+        row[at : at + len(d)] = best
+        far[at : at + len(d)] = d[np.arange(len(d)), best]
     return row, far
 
 

@@ -10,7 +10,7 @@ from ..sources import fixtures as X
 
 _NEAR = f"""few AS (SELECT b, g, r, count(*) AS n FROM mosaic GROUP BY 1, 2, 3),
 fewl AS (SELECT *, {sql_lab('few')} FROM few), pall AS (SELECT *, {sql_lab('pal')} FROM pal),
-near AS (SELECT * FROM (SELECT b, g, r, n, color, round(de00, 9) AS de00, row_number() OVER (PARTITION BY b, g, r ORDER BY round(de00, 9), color) AS k FROM {sql_de00(
+near AS (SELECT * FROM (SELECT b, g, r, n, color, de00, row_number() OVER (PARTITION BY b, g, r ORDER BY round(de00, 9), color) AS k FROM {sql_de00(
     '(SELECT fewl.b, fewl.g, fewl.r, n, color, fewl.L_ AS l1, fewl.A_ AS a1, fewl.B_ AS b1, pall.L_ AS l2, pall.A_ AS a2, pall.B_ AS b2 FROM fewl CROSS JOIN pall)', 'b, g, r, n, color')}) WHERE k = 1)"""
 _PAIRS = f"""pall AS (SELECT *, {sql_lab('pal')} FROM pal),
 pairs AS (SELECT first, second, round(de00, 6) AS de00 FROM {sql_de00(
@@ -26,7 +26,7 @@ def _quantised(px):
 
 QUERIES = {
     "legend_nearest_palette": lambda s, d: K.legend(X.mosaic(s, d), X.palette16(s)),
-    "nearest_color": lambda s, d: K.nearest_color(X.mosaic(s, d), X.palette16(s)).withColumn("de00", F.round("de00", 4)),
+    "nearest_color": lambda s, d: K.nearest_color(X.mosaic(s, d), X.palette16(s)).withColumn("de00", F.round("de00", 5)),
     "palette_pairwise_de00": lambda s, d: K.pairwise_de00(X.palette16(s)),
     "palette_separation": lambda s, d: K.palette_separation(X.palette16(s), 25.0),
     "color_histogram": lambda s, d: K.color_histogram(X.mosaic(s, d)),
@@ -44,7 +44,7 @@ ORACLE = {
       used AS (SELECT color, sum(n) AS pixels, sum(de00 * n) / sum(n) AS mean_de00 FROM near GROUP BY 1)
       SELECT row_number() OVER (ORDER BY round(L_, 9), color) AS number, color, b, g, r, CAST(pixels AS BIGINT) AS pixels,
         round(pixels / (sum(pixels) OVER ())::DOUBLE, 9) AS share, round(mean_de00, 6) AS mean_de00 FROM used JOIN pall USING (color)""",
-    "nearest_color": f"WITH {X.MOSAIC}, {X.PALETTE}, {_NEAR} SELECT b, g, r, n, color, round(de00, 4) AS de00 FROM near",
+    "nearest_color": f"WITH {X.MOSAIC}, {X.PALETTE}, {_NEAR} SELECT b, g, r, n, color, round(de00, 5) AS de00 FROM near",
     "palette_pairwise_de00": f"WITH {X.PALETTE}, {_PAIRS} SELECT * FROM pairs",
     "palette_separation": f"WITH {X.PALETTE}, {_PAIRS} SELECT min(de00) AS min_de00, count(*) FILTER (de00 < 25) AS close_pairs FROM pairs",
     "color_histogram": f"WITH {X.MOSAIC}, {_HIST} SELECT l, a, b, CAST(n AS BIGINT) AS n, L_mean FROM hist",
