@@ -16,7 +16,7 @@ def _linear(value: Column) -> Column:
 
 
 def lab(b: Column, g: Column, r: Column) -> Column:
-    """struct(L, a, b) of an 8-bit sRGB colour, relative to the matrix's own white point."""
+    """struct(L, a, b) of an 8-bit sRGB colour, relative to the matrix's own white point; a and b to ten digits, so grays have none."""
     channels = [_linear(c) for c in (r, g, b)]
 
     def shaped(row):
@@ -24,7 +24,7 @@ def lab(b: Column, g: Column, r: Column) -> Column:
         return F.when(t > (6 / 29) ** 3, F.pow(t, F.lit(1 / 3))).otherwise(t * ((29 / 6) ** 2 / 3) + 4 / 29)
 
     x, y, z = (shaped(row) for row in XYZ)
-    return F.struct((116 * y - 16).alias("L"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))
+    return F.struct((116 * y - 16).alias("L"), F.round(500 * (x - y), 10).alias("a"), F.round(200 * (y - z), 10).alias("b"))
 
 
 def with_lab(df, to: str = "lab", b: str = "b", g: str = "g", r: str = "r"):
@@ -98,7 +98,7 @@ def lab_array(bgr: np.ndarray) -> np.ndarray:
     light = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
     xyz = np.stack([light @ np.array(row) / sum(row) for row in XYZ], axis=-1)
     x, y, z = np.moveaxis(np.where(xyz > (6 / 29) ** 3, np.cbrt(xyz), xyz * ((29 / 6) ** 2 / 3) + 4 / 29), -1, 0)
-    return np.stack([116 * y - 16, 500 * (x - y), 200 * (y - z)], axis=-1)
+    return np.stack([116 * y - 16, np.round(500 * (x - y), 10) + 0.0, np.round(200 * (y - z), 10) + 0.0], axis=-1)
 
 
 def bgr_array(lab_: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def sql_lab(alias: str) -> str:
     d = lambda x: f"{x!r}::DOUBLE"
     t = [f"(({d(k[0])} * {line('r')} + {d(k[1])} * {line('g')} + {d(k[2])} * {line('b')}) / {d(sum(k))})" for k in XYZ]
     f = [f"(CASE WHEN {x} > {d((6 / 29) ** 3)} THEN pow({x}, 1::DOUBLE / 3) ELSE {x} * {d((29 / 6) ** 2 / 3)} + {d(4 / 29)} END)" for x in t]
-    return f"116 * {f[1]} - 16 AS L_, 500 * ({f[0]} - {f[1]}) AS A_, 200 * ({f[1]} - {f[2]}) AS B_"
+    return f"116 * {f[1]} - 16 AS L_, round(500 * ({f[0]} - {f[1]}), 10) + 0 AS A_, round(200 * ({f[1]} - {f[2]}), 10) + 0 AS B_"
 
 
 def sql_de00(source: str, keep: str) -> str:
