@@ -39,9 +39,9 @@ QUERIES_AT_ONCE = 2048
 def directions(dimensions: int, count: int, seed: int) -> np.ndarray:
     """`count` unit rows, orthonormal in groups of at most `dimensions`."""
     rng, out = np.random.default_rng(seed), []
-    while sum(len(x) for x in out) < count:
-        out.append(np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0].T)
-    return np.concatenate(out)[:count]
+    while (have := sum(len(x) for x in out)) < count:
+        out.append(np.linalg.qr(rng.standard_normal((dimensions, min(dimensions, count - have))))[0].T)
+    return np.concatenate(out)
 
 
 def least_count(projections: int = PROJECTIONS, width: float = WIDTH, loss: float = LOSS) -> int:
