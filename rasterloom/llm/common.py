@@ -38,11 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors, and tells the planner the size."""
+def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors, and tells the planner the size.
+    Small tables of many tasks do better with snappy, whose writers hold less memory outside the heap."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

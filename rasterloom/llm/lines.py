@@ -22,7 +22,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     stands on more than that share of the pages. Pages count a line once; totals count every page, empty ones too.
     """
     own = docs.select(F.col(host).alias("host"), F.col("text").cast("string").alias("text")).where("host is not null")
-    totals = cut(own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host-pages")
+    totals = cut(own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host-pages", "snappy")
     seen = (
         own.select("host", F.explode(F.array_distinct(F.transform(_lines("text"), F.trim))).alias("line"))
         .where("line <> ''")
@@ -30,7 +30,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_pages)
     )
-    frequent = cut(seen, "frequent-lines").join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
+    frequent = cut(seen, "frequent-lines", "snappy").join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
     return frequent.groupBy("host", "pages").agg(F.sort_array(F.collect_list("hash")).alias("lines"))
 
 
@@ -43,7 +43,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     and ties need no rule: every row is decided alone. An empty table gives an empty result.
     """
     key, bad = field("boiler_host", docs), field("boiler_lines", docs)
-    found = cut(boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias(key), F.col("lines").alias(bad)), "boilerplate")
+    found = cut(boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias(key), F.col("lines").alias(bad)), "boilerplate", "snappy")
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     joined = docs.select(*[docs[c] for c in kept]).join(found, F.col(host) == F.col(key), "left")
     lines = _lines(F.col("text").cast("string"))
