@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components as N
 from ..operators import regions as R
+from ..operators import signal as S
 from ..sources import fixtures as X
 
 _R, _A = X.mosaic_regions, X.album_regions
@@ -23,6 +24,11 @@ def _coarse(s, d):
     return _R(s, d).withColumn("region_id", F.when(F.col("region_id") >= 0, F.floor(F.col("region_id") / 8) * 8 + F.col("label")).otherwise(-1))
 
 
+def _halves(s, d):
+    """The album's map with labels 0 and 1 as one."""
+    return _A(s, d).withColumn("region_id", F.when(F.col("region_id") >= 0, F.col("region_id") - F.when(F.col("label") == 1, 1).otherwise(0)).otherwise(-1))
+
+
 def _renumbered(s, d):
     return _R(s, d).withColumn("region_id", F.col("region_id") * 7 + 3)
 
@@ -51,6 +57,7 @@ QUERIES = {
     "regions_joined": lambda s, d: R.regions_joined(_R(s, d), _coarse(s, d)),
     "partition_identical": lambda s, d: R.same_partition(_R(s, d), _renumbered(s, d)),
     "partition_coarser": lambda s, d: R.same_partition(_R(s, d), _coarse(s, d)),
+    "agreement": lambda s, d: R.same_partition(_A(s, d), _halves(s, d)).join(S.boundary_f1(R.boundary_pixels(_A(s, d)), R.boundary_pixels(_halves(s, d)), 1).select("image_id", F.col("f1").alias("boundary_f1")), "image_id"),
     "undersized_regions": lambda s, d: R.undersized(_R(s, d), 60),
     "paper_rings": lambda s, d: R.paper_rings(_R(s, d), "label = 3", "cast(floor(y / 16) * 13 + floor(x / 16) as int)"),
     "closed_breaks": lambda s, d: R.closed_breaks(_R(s, d), "g > 170", 3),
@@ -111,6 +118,12 @@ ORACLE = {
     "partition_identical": f"WITH {X.REGIONS} SELECT image_id, count(DISTINCT region_id) = count(DISTINCT region_id * 7 + 3) AS identical FROM px GROUP BY 1",
     "partition_coarser": f"""WITH {X.REGIONS}, c AS (SELECT image_id, region_id AS a, CASE WHEN region_id >= 0 THEN region_id // 8 * 8 + label ELSE -1 END AS b FROM px)
       SELECT image_id, count(DISTINCT a) = count(DISTINCT (a, b)) AND count(DISTINCT b) = count(DISTINCT (a, b)) AS identical FROM c GROUP BY 1""",
+    "agreement": f"""WITH {X.ALBUM_REGIONS}, m AS (SELECT image_id, x, y, region_id AS a, CASE WHEN region_id >= 0 AND label = 1 THEN region_id - 1 ELSE region_id END AS b FROM px),
+      e AS (SELECT p.image_id, p.x, p.y, bool_or(q.a <> p.a) AS ea, bool_or(q.b <> p.b) AS eb FROM m p JOIN m q ON q.image_id = p.image_id AND ((q.x = p.x - 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y - 1)) GROUP BY 1, 2, 3),
+      n AS (SELECT p.image_id, p.x, p.y, any_value(p.ea) AS ea, any_value(p.eb) AS eb, bool_or(q.ea) AS na, bool_or(q.eb) AS nb FROM e p JOIN e q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) <= 1 GROUP BY 1, 2, 3),
+      f AS (SELECT image_id, round(avg(CASE WHEN nb THEN 1::DOUBLE ELSE 0 END) FILTER (ea), 6) AS p, round(avg(CASE WHEN na THEN 1::DOUBLE ELSE 0 END) FILTER (eb), 6) AS r FROM n GROUP BY 1),
+      k AS (SELECT image_id, count(DISTINCT a) = count(DISTINCT (a, b)) AND count(DISTINCT b) = count(DISTINCT (a, b)) AS identical FROM m GROUP BY 1)
+      SELECT image_id, identical, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS boundary_f1 FROM k JOIN f USING (image_id)""",
     "undersized_regions": f"""WITH {_EIGHT}, c AS (SELECT image_id, region_id, count(DISTINCT y * 1000 + x) AS area, bool_or(other <> region_id) AS touched FROM around WHERE region_id >= 0 GROUP BY 1, 2)
       SELECT image_id, count(*) FILTER (area < 60 AND touched) AS undersized FROM c GROUP BY 1""",
     "paper_rings": f"""WITH {_EIGHT} SELECT image_id, CAST(y // 16 * 13 + x // 16 AS INTEGER) AS piece, min(other) AS least, max(other) AS most FROM around WHERE label = 3 AND NOT off AND lo <> 3 GROUP BY 1, 2""",
