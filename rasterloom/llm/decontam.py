@@ -236,6 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "words"])
+            index.tokens.clear()  # the process goes on to other tasks, of other stages too
 
         part = texts.mapInArrow(search, schema)
         out = part if out is None else out.union(part)
@@ -252,6 +253,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = I
             index = shared.value.index
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+            index.tokens.clear()
 
         docs = docs.mapInArrow(clean, schema)
     return docs

@@ -305,6 +305,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                         spans.append([{"start": m.start(), "stop": m.end(), "word": m.group()} for i, m in enumerate(_RUN.finditer(text)) if i in hot] if hot else [])
                         first += n
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array((values >= THRESHOLD).astype(np.int32)), pa.array(spans, span)], ["doc_id", "score", "predicted", "spans"])
+        if model is not None:
+            model.known.clear()  # the process goes on to other tasks, of other stages too
 
     schema = "doc_id long, score double, predicted int, spans array<struct<start: long, stop: long, word: string>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -322,6 +324,8 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRES
                 if model is not None:
                     batch = batch.filter(pa.array(model.scores([x or "" for x in batch.column(at).to_pylist()])[0] < threshold))
                 yield batch
+        if model is not None:
+            model.known.clear()
 
     return docs.mapInArrow(clean, docs.schema)
 
