@@ -247,3 +247,18 @@ def test_short_sentences_at_the_end_of_a_passage_go_too(spark):
     docs = [(d, f"{say(f'x{d}', 9)} {passage} {say(f'y{d}', 30)}") for d in (1, 2)]
     got = {r["doc_id"]: r["text"] for r in spans.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), ends_too=True).collect()}
     assert got == {1: docs[0][1], 2: f"{say('x2', 9)} {say('y2', 30)}"}
+
+
+def test_long_urls_and_ties(spark):
+    long = "http://a.com/" + "/".join(["p" * 50] * 400)
+    captures = spark.createDataFrame([(1, long, "2024-02-01"), (1, long, "2024-02-01"), (None, "http://a.com", "2024-02-01")], "page_id long, url string, day string").selectExpr("page_id", "url", "cast(day as date) as fetched")
+    entries = spark.createDataFrame([("a.com", "2024-01-01", "block"), ("a.com", "2024-01-01", "block")], "key string, day string, action string").selectExpr("key", "cast(day as date) as dated", "action")
+    assert [r["verdict"] for r in urls.url_filter(captures, entries).collect()] == ["block"] * 3
+
+
+def test_samples_of_repeated_ids_have_one_row_each(spark):
+    docs = spark.createDataFrame([(i % 12, ("you fool today" if i % 2 else "nice day today") + " x" * 9000, "en") for i in range(48)] + [(None, "fool", "en"), (99, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i % 12, i % 2) for i in range(24)] + [(None, 1), (99, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert model is not None and model.scores(["you fool today"])[0] > model.scores(["nice day today"])[0]
+    assert toxicity.learn(docs, labels.where("toxic = 0")) is None
