@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .pictures import _grid, _kind
+from .pictures import _kind
 from .scores import normalized_text as plain_text
 from .scores import ssim_map
 
 
-def ssim(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(image_id, ssim): mean structural similarity of the luma of two pictures of one size, from 11 x 11 windows; beyond their edge
-    pictures go on mirrored. A picture to a task."""
+def ssim(first: DataFrame, second: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, ssim): mean structural similarity of the luma of two pictures of that size over the pixels that both have, from
+    11 x 11 windows; beyond their edge pictures go on mirrored, and pixels that one lacks add nothing. A picture to a task."""
     one = first.select("image_id", "x", "y", *[F.col(c).alias(f"{c}1") for c in "bgr"])
     both = one.join(second.select("image_id", "x", "y", *[F.col(c).alias(f"{c}2") for c in "bgr"]), ["image_id", "x", "y"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        p, q = (np.stack([_grid(rows, f"{c}{i}", 255) for c in "bgr"], axis=2) for i in (1, 2))
-        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "ssim": [round(float(ssim_map(p, q).mean()), 6)]})
+        at = rows["y"].to_numpy(), rows["x"].to_numpy()
+        p, q, there = np.zeros((height, width, 3)), np.zeros((height, width, 3)), np.zeros((height, width), bool)
+        p[at], q[at], there[at] = rows[["b1", "g1", "r1"]], rows[["b2", "g2", "r2"]], True
+        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "ssim": [round(float(ssim_map(p, q, there)[there].mean()), 6)]})
 
     return both.groupBy("image_id").applyInPandas(run, f"image_id {_kind(first)}, ssim double")
 

@@ -73,7 +73,7 @@ QUERIES = {
     "described_params": lambda s, d: P.described(P.params(_chosen(s, d), P.presets(s), P.settings(s))),
     "case_sizes": lambda s, d: B.case_sizes(_cases(s, d)),
     "preferred_fonts": lambda s, d: X.boxes(s, d).select("box_id", P.preferred_font(F.least("w", "h") * 7.3, F.lit(10)).alias("font_px")),
-    "ssim_mean": lambda s, d: S.ssim(X.album(s, d), _quantised(X.album(s, d))),
+    "ssim_mean": lambda s, d: S.ssim(X.album(s, d), _quantised(X.album(s, d)), 40, 40),
     "otsu_contrast": lambda s, d: S.otsu_contrast(table(s, d, "orders"), "o_orderpriority", "o_totalprice"),
     "tones": lambda s, d: S.tones(table(s, d, "part"), "p_brand", "p_size", 24.9),
     "text_errors": lambda s, d: S.character_errors(_text_pairs(s, d).withColumnRenamed("item_id", "block")).withColumnRenamed("block", "item_id"),
