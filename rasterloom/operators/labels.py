@@ -110,13 +110,14 @@ def completed(px: DataFrame, coverage: str, ink_gray: int = 0) -> DataFrame:
     return px.select("image_id", "x", "y", *map(laid, "bgr"))
 
 
-def edge_vote(px: DataFrame, palette: list[tuple[int, int, int]], sigma: float, step: float) -> DataFrame:
+def edge_vote(px: DataFrame, palette: list[tuple[int, int, int]], sigma: float, step: float, digits: int | None = 9) -> DataFrame:
     """(image_id, x, y, label): labels (-1 for none) of pictures (image_id, x, y, label, b, g, r) after one vote on their edges, told by
-    each pixel's own colour. A picture to a task."""
+    each pixel's own colour. Shares that are equal to so many decimal places tie: the pixel's own label wins, then the lowest. A picture
+    to a task."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         labels = _grid(rows, "label", -1)
-        out = vote(planes(rows), labels, np.array(palette), sigma, step)
+        out = vote(planes(rows), labels, np.array(palette), sigma, step, digits)
         x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
         return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "x": x, "y": y, "label": out[y, x].astype(np.int32)})
 

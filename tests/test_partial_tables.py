@@ -1,4 +1,4 @@
-"""Queries of the album equal their SQL on tables whose pictures lack tiles."""
+"""Queries of the album equal their SQL on odd tables: pictures that lack tiles, colours far from those of all labels."""
 
 import duckdb
 import numpy as np
@@ -27,3 +27,10 @@ def differing(spark, folder, name, ids, values):
 def test_similarity_of_pictures_that_lack_tiles(spark, tmp_path, ids):
     values = np.random.default_rng(5).normal(0, 0.125, (len(ids), 64))
     assert not differing(spark, tmp_path, "ssim_mean", list(ids), values)
+
+
+# Seeds of pictures in which two shares differ from the tenth decimal place on.
+@pytest.mark.parametrize("seed, spread", [(64, 0.25), (3, 0.5), (233, 1.0), (109, 2.0)])
+def test_votes_that_tie_to_nine_digits(spark, tmp_path, seed, spread):
+    values = np.random.default_rng(seed).normal(0, spread, (100, 64))
+    assert not differing(spark, tmp_path, "edge_vote", list(range(100)), values)
