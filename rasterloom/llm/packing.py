@@ -9,14 +9,15 @@ resulting patterns are assigned to the items by their rank within their class, w
 
 from __future__ import annotations
 
+import codecs
 import json
-import re
 import zlib
 from collections import Counter
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,23 +30,37 @@ LENGTH, UNIT, END = 4096, 8, 2
 GAP, ROUNDS = 2e-4, 4000
 #: New words after which a task forgets those that it has not met since as many before.
 KEPT = 300_000
-#: Texts with other characters than these are given to the tokenizer whole: ASCII but for four that Python takes for blanks,
+#: Bytes of text whose words are looked up at once, each of them one time; a longer text is looked up alone.
+SPAN = 1 << 23
+#: Texts with other characters than these are given to the tokenizer whole: ASCII but for four that may pass for blanks,
 #: Latin letters but for the dotted capital I, and common signs; and texts with what could begin a special token.
-_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]|<\\|")
+_ODD = "[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]|<\\|"
 # How a tokenizer file says that it lower-cases texts and cuts them into parts which it merges alone. For one
 # that says anything else, texts are encoded whole.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _CUTTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}, _BYTES]}
-_BLANKS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, _BYTES]}
+_BLANKS = {"type": "CharDelimiterSplit", "delimiter": " "}
 _PARTS = regex.compile(_CUT)
+#: The character that stands for each byte in a byte-level vocabulary: its own where that is printed, else one from 256 on. Blanks stay.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = "".join(" " if b == 32 else chr(b if b in _PRINTED else 256 + b - sum(p < b for p in _PRINTED)) for b in range(256))
 #: Signs at the end of a word that are one part of it.
 _EDGES = ".,;:!?*%$#()[]{}+-=/&"
 
 
+def _strings(kind: pa.DataType, stops: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    """The array of strings that lie one after another in `data`."""
+    return pa.Array.from_buffers(kind, len(stops) - 1, [None, pa.py_buffer(stops), data or pa.py_buffer(b"")])
+
+
+def _stops(strings: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, kind)
+
+
 class WordIds(dict):
-    """Token ids (little-endian, 4 bytes each) of blank-separated words, for a tokenizer that no token crosses a blank of."""
+    """Token ids (little-endian, 4 bytes each) of words without the signs at their ends, and of such signs, for a tokenizer that no token crosses a blank of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,7 +80,8 @@ class WordIds(dict):
         """Ids of new parts: many are encoded in one call, and its ids cut at the word ends."""
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            signs = codecs.charmap_decode(" ".join(some).encode(), "strict", _SIGNS)[0]
+            ids = np.array(self.plain.encode_batch_fast([signs], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 raw, begin = ids.tobytes(), 0
@@ -75,38 +91,70 @@ class WordIds(dict):
             else:  # some part has signs that the vocabulary lacks
                 self.update((part, self._whole(part)) for part in some)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Ids of new words: of their parts, one after another."""
         if len(self) > KEPT:
             self.before = dict(self)
             self.clear()
-        old, cuts, fresh = self.before, [], []
-        for w in words:
-            if w in old:
-                self[w] = old[w]
+        cuts, fresh = [], []
+        for w, ids in zip(words, map(self.before.get, words), strict=True):
+            if ids is not None:
+                self[w] = ids
             elif w.isalpha():
                 fresh.append(w)
             else:
-                core = w.rstrip(_EDGES)
-                cuts.append((w, (core, w[len(core) :]) if core.isalpha() else _PARTS.findall(w)))
-        known = {p for _, parts in cuts for p in parts if p not in self} - set(fresh)
-        for p in known:
-            if p in old:
-                self[p] = old[p]
+                cuts.append((w, _PARTS.findall(w)))
+        for p in {p for _, parts in cuts for p in parts if p not in self}.difference(fresh):
+            if p in self.before:
+                self[p] = self.before[p]
             else:
                 fresh.append(p)
         self._encode(fresh)
         for w, parts in cuts:
             self[w] = b"".join([self[p] for p in parts])
 
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.get, words))
+        if fresh := [i for i, ids in enumerate(found) if ids is None]:
+            missing = [words[i] for i in fresh]
+            self._learn(missing)
+            for i, w in zip(fresh, missing, strict=True):
+                found[i] = self[w]
+        return found
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words. Letters and the signs after them are looked up apart; the two have no part in common."""
+        stops = _stops(words, np.int32)
+        cores = pc.utf8_rtrim(words, characters=_EDGES)
+        cut = np.where(pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False), stops[:-1] + pc.binary_length(cores).to_numpy(), stops[1:])
+        halves = np.empty(2 * len(words) + 1, np.int32)
+        halves[::2], halves[1::2] = stops, cut
+        met = _strings(pa.string(), halves, words.buffers()[2]).dictionary_encode()
+        ids = pa.array(self._look_up(met.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(met.indices)
+        return _strings(pa.large_binary(), _stops(ids, np.int64)[::2].copy(), ids.buffers()[2])
+
+    def _encode_span(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts, whose different words are looked up one time each."""
+        odd = pc.match_substring_regex(texts, _ODD) if self.by_word else pa.array(np.ones(len(texts), bool))
+        words = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        met = words.flatten().dictionary_encode()
+        ids = self._of_words(met.dictionary).take(met.indices)
+        raw, stops = memoryview(ids.buffers()[2] or b""), _stops(ids, np.int64)[words.offsets.to_numpy()].tolist()
+        found = [raw[a:b].tobytes() for a, b in zip(stops, stops[1:], strict=False)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = self._whole(texts[i].as_py())
+        return found
+
+    def encode_each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Token ids of whole texts (null: none), one after another."""
+        stops = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // SPAN
+        edges = [0, *(np.flatnonzero(np.diff(stops)) + 1).tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                yield from self._encode_span(pc.fill_null(texts.slice(a, b - a).cast(pa.string()), ""))
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Token ids of whole texts."""
-        split = [(t or "").lower().split() if self.by_word and not _ODD.search(t or "") else None for t in texts]
-        fresh = {w for words in split if words for w in words if w not in self}
-        if fresh:
-            kept = {w for words in split if words for w in words} if len(self) > KEPT else fresh
-            self._learn(kept)
-        return [self._whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        return list(self.encode_each(pa.array(texts, pa.string())))
 
 
 #: What a worker process has learned, for the tasks it runs one after another.
@@ -139,9 +187,8 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, unit:
     def run(batches):
         words, part, placed = word_ids(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows, texts = [], batch.column(1).to_pylist()
-            encoded = chain.from_iterable(words.encode_all(texts[at : at + 64]) for at in range(0, len(texts), 64))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+            rows = []
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_each(batch.column(1)), strict=True):
                 ids = ids + end
                 total = len(ids) // 4
                 for start in range(0, total, length):

@@ -133,3 +133,26 @@ def test_words_are_tokenized_like_whole_texts():
     for at in range(0, len(texts), 61):
         got = words.encode_all(texts[at : at + 61])
         assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[at : at + 61]]
+
+
+def test_signs_after_words_take_no_place_of_their_own():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    texts = ["Alpha beta, beta. beta; beta?! (alpha) it's it's. ... x1, x1", None, "", " \t\n", "beta) alpha\x85beta <|endoftext|>"] * 3
+    assert words.encode_all(texts) == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert {"alpha", "beta", ",", ".", ";", "?!", ")"} < set(words) and not {"beta,", "beta.", "beta;", "beta?!", "beta)"} & set(words)
+
+
+@pytest.mark.parametrize("span", [1, 3000, 1 << 23])
+def test_every_character_is_tokenized_like_in_whole_texts(span, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SPAN", span)
+    tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    texts = [f"{c} Ab{c} ab{c}. x{c}y, {c}Z {c}.{c} '{c} 1{c}" for c in map(chr, [*range(0x260), *range(0x2000, 0x2070), 0x20AC, 0x2C65, 0x3000, 0x1F642])]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert list(words.encode_each(pa.array(["cut off", *texts, None], kind).slice(1))) == [*want, b""]
+    assert words.encode_all([]) == [] and list(words.encode_each(pa.array([None, None], pa.string()))) == [b"", b""]
